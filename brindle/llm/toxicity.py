@@ -135,8 +135,8 @@ def swaps(numbers: set[int], place: dict[str, int]) -> list[dict[int, float]]:
     return out
 
 
-def fit_weights(rows: list[tuple[int, list[int]]], features: list[str], prior: float) -> Model:
-    """Full-batch Adam on the loss with both penalties; prior is the share of label 1 outside the sample."""
+def fit_weights(rows: list[tuple[int, list[int]]], features: list[str]) -> Model:
+    """Full-batch Adam on the loss with both penalties."""
     place, k = {f: i for i, f in enumerate(features)}, len(features)
     x, y = np.zeros((len(rows), k), np.float32), np.array([r[0] for r in rows], np.float32)
     changes = []
@@ -158,8 +158,7 @@ def fit_weights(rows: list[tuple[int, list[int]]], features: list[str], prior: f
         up, down = 1 - 0.9**t, 1 - 0.999**t
         w = w - 0.08 * (m / up) / (np.sqrt(v / down) + 1e-8)
         b = b - np.float32(0.08 * (mb / up) / (math.sqrt(vb / down) + 1e-8))
-    shift = math.log(prior / (1 - prior)) - math.log(share / (1 - share))
-    return Model({f: float(a) for f, a in zip(features, w, strict=True)}, float(b) + shift)
+    return Model({f: float(a) for f, a in zip(features, w, strict=True)}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -168,7 +167,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     n = {0: 0, 1: 0} | {int(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n[0] or not n[1]:
         return None
-    whole = {int(r.toxic): r.n for r in labels.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     features = chosen_features(sample, n)
     place = {f: i for i, f in enumerate(features)}
 
@@ -178,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "numbers"])
 
     rows = sorted((r.toxic, list(r.numbers)) for r in sample.mapInArrow(number, "toxic int, numbers array<int>").toLocalIterator())
-    return fit_weights(rows, features, whole[1] / (whole[0] + whole[1]))
+    return fit_weights(rows, features)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
