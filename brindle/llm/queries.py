@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, toxicity, urlfilter
+from brindle.llm import decontaminate, mix, neardup, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -12,17 +12,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_items=2)
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixed(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
+    "op7_mix": op7_mix,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
