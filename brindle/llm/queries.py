@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, mix, neardup, toxicity, urlfilter
+from brindle.llm import decontaminate, mix, neardup, shards, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_items=2)
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the compacted store holds each document."""
+    return shards.sharded(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", "shard", "shard_bytes", "version")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
+    "op4_shards": op4_shards,
     "op7_mix": op7_mix,
     "op10_url_filter": op10_url_filter,
 }
