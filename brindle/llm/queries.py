@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, mix, neardup, shards, toxicity, urlfilter
+from brindle.llm import anisotropic, decontaminate, mix, neardup, shards, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_shards": op4_shards,
     "op7_mix": op7_mix,
+    "op8_neighbours": op8_neighbours,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
