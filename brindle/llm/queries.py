@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import anisotropic, decontaminate, mix, neardup, shards, toxicity, urlfilter
+from brindle.llm import anisotropic, chunks, decontaminate, mix, neardup, shards, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that shares a passage with another place."""
+    return chunks.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op4_shards": op4_shards,
     "op7_mix": op7_mix,
     "op8_neighbours": op8_neighbours,
+    "op9_substrings": op9_substrings,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE: dict[str, str] = {}
