@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import anisotropic, chunks, decontaminate, mix, neardup, shards, toxicity, urlfilter
+from brindle.llm import anisotropic, chunks, decontaminate, licenses, mix, neardup, shards, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", "shard", "shard_bytes", "version")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op4_shards": op4_shards,
+    "op5_licenses": op5_licenses,
     "op7_mix": op7_mix,
     "op8_neighbours": op8_neighbours,
     "op9_substrings": op9_substrings,
