@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import anisotropic, chunks, decontaminate, licenses, mix, neardup, shards, toxicity, urlfilter
+from brindle.llm import anisotropic, chunks, decontaminate, licenses, mix, neardup, shards, tokens, toxicity, urlfilter
 from brindle.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of each document, before and after e-mail addresses are redacted."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixed(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_shards": op4_shards,
     "op5_licenses": op5_licenses,
+    "op6_tokens": op6_tokens,
     "op7_mix": op7_mix,
     "op8_neighbours": op8_neighbours,
     "op9_substrings": op9_substrings,
