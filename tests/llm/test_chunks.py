@@ -1,0 +1,51 @@
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from brindle.llm import chunks as C
+from tests.llm.conftest import rows
+
+SCHEMA = "doc_id long, text string, place string, words int"
+
+
+def text(rng, n):
+    return [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "c", "é"]), max_size=200))
+def test_chunks_cover_the_words(words):
+    ends = C.cuts([w.encode() for w in words])
+    sizes = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+    assert sum(sizes) == len(words) and all(1 <= s <= C.MAX_WORDS for s in sizes) and all(s >= C.MIN_WORDS for s in sizes[:-1])
+
+
+def test_an_insertion_moves_few_cuts():
+    rng = random.Random(2)
+    words = [w.encode() for w in text(rng, 3000)]
+    other = words[:100] + [b"new"] + words[100:]
+    a, b = (set(zip([0, *e], e, strict=False)) for e in (C.cuts(words), C.cuts(other)))
+    same = {tuple(words[x:y]) for x, y in a} & {tuple(other[x:y]) for x, y in b}
+    assert len(same) >= len(a) - 8
+
+
+def test_repeats_are_found_and_clean_documents_are_not(spark):
+    rng = random.Random(6)
+    passage = text(rng, 60)
+    docs = [(i, " ".join(text(rng, rng.randint(20, 300)))) for i in range(60)]
+    held = []
+    for n in range(12):
+        docs.append((100 + n, " ".join(text(rng, 40) + passage + text(rng, 30))))
+        held.append(100 + n)
+    docs += [(300, docs[0][1]), (301, None), (302, ""), (None, docs[0][1]), (303, "same line here again " * 100), docs[5], (304, " ".join(text(rng, 90)).upper())]
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    got = {r["doc_id"]: r for r in rows(C.repeats(d))}
+    assert set(got) == {*held, 0, 300}
+    assert got[0]["removed_words"] == 0 and got[300]["removed_words"] == len(docs[0][1].split()) and got[300]["first_docs"] == [0]
+    out = C.remove_repeats(d)
+    assert out.columns == d.columns and out.count() == len(docs)
+    after = {r["doc_id"]: r["text"] for r in rows(out)}
+    assert after[300] == "" and after[301] is None and after[304] == docs[-1][1]
+    assert all(len(after[i].split()) < 100 for i in held[1:]) and after[100] == dict(docs[:-2])[100]
+    assert C.repeats(d.where("false")).count() == 0
