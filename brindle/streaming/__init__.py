@@ -1,0 +1 @@
+"""Aggregates over tables that grow file by file."""
