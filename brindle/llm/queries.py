@@ -63,4 +63,30 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_HOST_RULES = ", ".join(f"('{r.name}', '{r.verdict}')" for r in urlfilter.HOST_RULES)
+_PATTERNS = " OR ".join(f"regexp_matches(host, '(^|[.-]){r.name}($|[.-])')" for r in urlfilter.PATTERN_RULES)
+_FIRST_PATTERN = "CASE " + " ".join(f"WHEN regexp_matches(host, '(^|[.-]){r.name}($|[.-])') THEN '{r.name}'" for r in sorted(urlfilter.PATTERN_RULES, key=lambda r: r.name)) + " END"
+
+ORACLE: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(8, len(w)) AS n, array_to_string(w[j : j + least(8, len(w)) - 1], ' ') AS s
+            FROM b, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS t(j) WHERE len(w) > 0),
+        dw AS (SELECT doc_id, j, n, array_to_string(w[j : j + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) AS t(j)),
+        h AS (SELECT doc_id, j, n, item FROM dw JOIN iw USING (n, s)),
+        p AS (SELECT doc_id, count(DISTINCT j + k) AS n_hit FROM h, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op10_url_filter": f"""
+        WITH r AS (SELECT * FROM (VALUES {_HOST_RULES}) AS t(rule, verdict)),
+        u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN position('/' IN rest) > 0 THEN substr(rest, position('/' IN rest)) ELSE '' END AS path FROM u),
+        m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM s JOIN r
+            ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY page_id)
+        SELECT s.page_id, host, path, rule, coalesce(verdict, CASE WHEN {_PATTERNS} THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN {_FIRST_PATTERN} END AS pattern
+        FROM s LEFT JOIN m USING (page_id)""",
+}
