@@ -113,6 +113,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
         n = min(int(counts[i] - take[i]), max(0, rest - REST // 2) // max(int(sizes[i]), 1))
         take[i] += n
         rest -= n * int(sizes[i])
+    for i in np.argsort(sizes, kind="stable"):  # small sizes back, so that the programme has a choice
+        n = min(int(take[i]), max(0, REST - rest) // max(int(sizes[i]), 1))
+        take[i] -= n
+        rest += n * int(sizes[i])
     rest_at_once = min(rest, REST)
     chosen, _ = knapsack(sizes, counts - take, rest_at_once)
     for i, n in chosen.items():
@@ -131,7 +135,7 @@ def plan(thin: DataFrame, **weights) -> DataFrame:
         own = pdf.sort_values("size", ignore_index=True)
         sizes, counts = own["size"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
         total, target = int((sizes * counts).sum()), float(own["target"].iloc[0])
-        rounds = int(target // total) if total else 1
+        rounds = int((target + 1e-6) // total) if total else 1
         own["rounds"] = np.where(sizes > 0, rounds, max(rounds, 1))
         own["take"] = np.where(sizes > 0, fit_counts(sizes, counts, int(target + 1e-6) - rounds * total), 0)
         return own[["source", "size", "source_size", "target", "rounds", "n", "take"]]
