@@ -9,8 +9,9 @@ of hashes is no match.  A match votes for the diagonal
 Exact phrases: a diagonal with the votes of all pairs is a place where the
 phrase stands.  Longer templates: neighbouring diagonals (up to SLACK words
 apart, as an inserted or missing word shifts the rest) are merged, and the span
-is verified: it must hold at least LEAST of the template's pairs, each counted
-once, in not much more words than the template has.
+is verified: it must hold at least LEAST of the template's pairs (short
+templates: all), each counted once, in not much more words than the template
+has.
 
 A document's words are exploded where it is read and its votes are combined
 before any shuffle, so a document or a phrase however frequent is no hot key.
@@ -28,7 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words that diagonals of one span may be apart, least share of pairs, most words of a span per word of the template.
-SLACK, LEAST, STRETCH = 3, 0.85, 1.4
+SLACK, LEAST, STRETCH = 3, 0.8, 1.4
+#: Templates of up to so many pairs must be whole: an edit of theirs may name another licence.
+SHORT = 8
 
 # Exact phrases with their labels, then templates with labels of this scan.
 PHRASES = (
@@ -101,7 +104,7 @@ def verified(v: DataFrame) -> DataFrame:
     pairs = F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(group))))
     words = F.max("high").over(group) - F.min("low").over(group) + 2
     share = pairs / F.col("pairs")
-    return v.withColumn("share", F.when((share >= LEAST) & (words <= STRETCH * (F.col("pairs") + 1)), share).otherwise(0.0))
+    return v.withColumn("share", F.when((share >= F.when(F.col("pairs") <= SHORT, 1.0).otherwise(LEAST)) & (words <= STRETCH * (F.col("pairs") + 1)), share).otherwise(0.0))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
