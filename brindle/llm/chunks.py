@@ -132,13 +132,14 @@ def remove_repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     gone = run.where((F.col("words") >= least) & ~((F.col("f.first_doc") == F.col("doc_id")) & (F.col("f.first_place") == F.col("place"))))
     key, cut = "chunk_doc", "chunk_cuts"
     gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("word", "n_words"))).alias(cut))
-    at, width = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, width = names.index("text"), len(names)
 
     def apply(batches):
         for batch in batches:
             texts = [cut_words(t, c) for t, c in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left").select(*(docs[c] for c in docs.columns), cut)
     return joined.mapInArrow(apply, T.StructType(docs.schema.fields))
