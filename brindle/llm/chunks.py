@@ -4,7 +4,7 @@ The gear hash runs over words: h = (h << 1) + gear(word).  Its low bits depend
 on the last words only, so a cut where they vanish falls at the same words
 wherever a passage stands, and an insertion moves no cut but those next to it.
 Chunks have MIN_WORDS to MAX_WORDS words.  Chunks are deduplicated by a 128-bit
-digest of their words: the first holder, by doc_id and place, keeps a chunk.
+digest of their words: the document with the least doc_id keeps a chunk.
 
 A span is a run of neighbouring chunks that all occur in other documents too
 (what repeats within one document alone is left to it); spans of at
@@ -89,24 +89,25 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, place, word, n_words, first_doc, first_place, of chunks that occur in two documents or more."""
+    """doc_id, place, word, n_words, first_doc, of chunks that occur in two documents or more."""
     rows = materialise(chunk_rows(docs), "chunks")
-    at = F.struct("doc_id", "place")
-    held = rows.groupBy("digest").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.doc_id <> hi.doc_id").select("digest", "lo")
-    held = materialise(held, "repeated-digests")
-    got = rows.join(held, "digest")
-    return got.select("doc_id", "place", "word", "n_words", F.col("lo.doc_id").alias("first_doc"), F.col("lo.place").alias("first_place"))
+    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
+    return rows.join(materialise(held, "repeated-digests"), "digest").drop("digest")
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """repeated(), with the run of neighbouring chunks that each belongs to, and n_words 0 where a row repeats a place."""
+    rows, order = repeated(docs), Window.partitionBy("doc_id").orderBy("place", "word")
+    step = F.col("place") - F.lag("place").over(order)
+    again = (step == 0) & (F.col("word") == F.lag("word").over(order))
+    rows = rows.withColumn("new", F.coalesce(step > 1, F.lit(True)).cast("int")).withColumn("n_words", F.when(again, 0).otherwise(F.col("n_words")))
+    return rows.withColumn("run", F.sum("new").over(order)).drop("new")
 
 
 def spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """doc_id, start, words, removed (words held first elsewhere), first_doc of every span of at least `least` words."""
-    # one row for each place, also where rows repeat
-    rows = repeated(docs).groupBy("doc_id", "place", "word").agg(F.max("n_words").alias("n_words"), F.min(F.struct("first_doc", "first_place")).alias("f"))
-    order = Window.partitionBy("doc_id").orderBy("place", "word")
-    new = F.coalesce(F.col("place") - F.lag("place").over(order) > 1, F.lit(True))
-    run = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    first = (F.col("f.first_doc") == F.col("doc_id")) & (F.col("f.first_place") == F.col("place"))
-    out = run.groupBy("doc_id", "run").agg(F.min("word").alias("start"), F.sum("n_words").alias("words"), F.sum(F.when(first, 0).otherwise(F.col("n_words"))).alias("removed"), F.min("f.first_doc").alias("first_doc"))
+    """doc_id, start, words, removed (words that an earlier document holds), first_doc of every span of at least `least` words."""
+    gone = F.when(F.col("first_doc") == F.col("doc_id"), 0).otherwise(F.col("n_words"))
+    out = runs(docs).groupBy("doc_id", "run").agg(F.min("word").alias("start"), F.sum("n_words").alias("words"), F.sum(gone).alias("removed"), F.min("first_doc").alias("first_doc"))
     return out.where(F.col("words") >= least).drop("run")
 
 
@@ -123,13 +124,9 @@ def repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """docs without the repeated chunks of reported spans that another place holds first; words cut go with the white space after them."""
-    rows = repeated(docs).groupBy("doc_id", "place", "word").agg(F.max("n_words").alias("n_words"), F.min(F.struct("first_doc", "first_place")).alias("f"))
-    order = Window.partitionBy("doc_id").orderBy("place", "word")
-    new = F.coalesce(F.col("place") - F.lag("place").over(order) > 1, F.lit(True))
-    run = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    run = run.withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    gone = run.where((F.col("words") >= least) & ~((F.col("f.first_doc") == F.col("doc_id")) & (F.col("f.first_place") == F.col("place"))))
+    """docs without the chunks of reported spans that an earlier document holds; words cut go with the white space after them."""
+    run = runs(docs).withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    gone = run.where((F.col("words") >= least) & (F.col("first_doc") != F.col("doc_id")) & (F.col("n_words") > 0))
     key, cut = "chunk_doc", "chunk_cuts"
     gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("word", "n_words"))).alias(cut))
     names = docs.columns
