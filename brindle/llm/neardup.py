@@ -12,9 +12,9 @@ sets, in integers.  At similarity 0.8 a pair shares no band with probability
 2. Within a bucket (equal band), every class is compared with the least one:
    a star, not all pairs.  Confirmed links give components.
 3. Buckets that still hold several components are compared further, only
-   across components: small ones pair by pair, large ones in blocks of
-   signatures of bounded size, from which only pairs within reach of the
-   threshold (5 standard deviations) go on to be confirmed.  No bucket is capped.
+   across components: small ones pair by pair, large ones in blocks of bounded
+   size, where pairs that signatures put within reach of the threshold (5
+   standard deviations) are confirmed at once.  No bucket is capped.
 4. The links of 2 and 3 give the final components.
 
 Rows with null doc_id are linked with nothing and have no component; they are
@@ -37,7 +37,7 @@ from brindle.llm.components import components
 PERMUTATIONS, ROWS = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members of a bucket that are compared pair by pair; larger ones go by blocks of BLOCK.
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK = 16, 256
 #: Shingles that are permuted at once.
 STRIP = 2048
 
@@ -129,38 +129,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, across labels within a bucket, from members (key, id, label, c)."""
+def pairs_across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, across labels within small buckets, from members (key, id, label, c)."""
     small = members.where(F.col("c") <= SMALL)
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.expr("x.key = y.key and x.id > y.id and x.label <> y.label")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    # large ones: member i of a bucket belongs to block i div BLOCK, and meets every block up to its own
+    on = F.expr("x.key = y.key and x.id > y.id and x.label <> y.label")
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def links_across(members: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (a, b) across labels within large buckets; None if there are none such.
+
+    Large buckets that share members form a field, whose members are dealt into
+    blocks; every two blocks of a field meet in one group of bounded size.  There
+    signatures leave out pairs that are out of reach, full sets decide, and links
+    between what is linked already are not given again.
+    """
     large = members.where(F.col("c") > SMALL)
     if large.isEmpty():
-        return pairs.distinct()
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).cast("int")
-    n = F.ceil(F.col("c") / BLOCK).cast("int")
-    placed = large.withColumn("part", part).withColumn("n", n)
-    to = placed.select("key", "id", "label", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    to = to.join(sigs, "id").select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "label", "sig")
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)) ** 0.5
+        return None
+    low = large.groupBy("key").agg(F.min("id").alias("low"))
+    star = large.join(low, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    field = materialise(components(star).withColumnRenamed("label", "field"), "fields")
+    size = field.groupBy("field").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = field.join(size, "field").join(large.select("id", "label").distinct(), "id")
+    placed = placed.join(sigs, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("field", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "label", "sig", "text")
+    share = percent / 100
+    least = share - 5 * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
 
     def compare(key, pdf):
         import pandas as pd
 
         _, p, q = key
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        ids, labels, parts = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["part"].to_numpy()
-        out = []
-        right = np.flatnonzero(parts == q)
+        ids, labels, parts = pdf["id"].to_numpy(), pdf["label"].to_numpy().copy(), pdf["part"].to_numpy()
+        sets = [shingle_set(t, k) for t in pdf["text"]]
+        sizes = np.array([len(x) for x in sets])
+        out, right = [], np.flatnonzero(parts == q)
         for i in np.flatnonzero(parts == p):
-            other = right[labels[right] != labels[i]]
-            near = other[(sig[other] == sig[i]).mean(axis=1) >= least]
-            out.append(np.stack([np.maximum(ids[i], ids[near]), np.minimum(ids[i], ids[near])]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            other = right[(labels[right] != labels[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
+            for j in other[(sig[other] == sig[i]).mean(axis=1) >= least]:
+                if labels[i] != labels[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                        out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                        labels[labels == labels[j]] = labels[i]
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return pairs.union(to.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")).distinct()
+    return dealt.groupBy("field", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +201,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
     held = members.where("c > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "c")
     held = materialise(held, "labelled-members")
     open_ = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = across(materialise(held.join(open_, "key", "left_semi"), "open-members"), own.select("id", "sig"), percent).join(star, ["a", "b"], "left_anti")
-    more = materialise(confirm(rest, texts, k, percent), "more-links")
+    open_ = materialise(held.join(open_, "key", "left_semi"), "open-members")
+    more = confirm(pairs_across(open_).join(star, ["a", "b"], "left_anti"), texts, k, percent)
+    other = links_across(open_, own.select("id", "sig"), texts, k, percent)
+    more = materialise(more if other is None else more.union(other), "more-links")
     if not more.isEmpty():
         labels = materialise(components(links.union(more)), "labels")
     of = sets.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
