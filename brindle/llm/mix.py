@@ -32,8 +32,10 @@ from brindle.llm.common import materialise, sized, spaced_words, unused
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Slices of the hash; a group of one source and size is ranked within a slice.
 SLICES = 4096
-#: Words that the dynamic programme may close at once.
+#: Words that the dynamic programme may close at once; twice the longest document that the budget holds, where that is more.
 REST = 1 << 16
+#: Words up to which it is widened where a budget is missed; budgets up to here are met as nearly as any choice of documents can.
+WIDEST = 1 << 24
 
 
 def with_size(docs: DataFrame, seed: int) -> DataFrame:
@@ -72,7 +74,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> tuple[dict[int
     Bounded multiplicities are split into powers of two; `first` holds the
     part that reached a sum first, from which the choice is read back.
     """
-    first = np.full(rest + 1, -1, np.int64)
+    first = np.full(rest + 1, -1, np.int32)
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
     parts: list[tuple[int, int]] = []
@@ -102,23 +104,36 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.zeros_like(counts)
+    best = np.zeros_like(counts)
     if budget <= 0 or not total:
-        return take
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
+        return best
+    unit = int(np.gcd.reduce(sizes[counts > 0]))
+    sizes, budget = sizes // unit, budget // unit
+    most = max(REST, 2 * int(sizes[(counts > 0) & (sizes <= budget)].max(initial=0)))
+    while True:
+        take = fit_within(sizes, counts, budget, most)
+        if (sizes * take).sum() > (sizes * best).sum():
+            best = take
+        if (sizes * best).sum() == budget or most >= min(budget, WIDEST):
+            return best
+        most = min(most * 8, WIDEST)
+
+
+def fit_within(sizes: np.ndarray, counts: np.ndarray, budget: int, most: int) -> np.ndarray:
+    """fit_counts() by a share of every size and a programme over `most` words, twice the longest document at least."""
+    take = np.minimum(counts, np.floor(counts * (budget / int((sizes * counts).sum()))).astype(np.int64))
     rest = budget - int((sizes * take).sum())
     for i in np.argsort(-sizes, kind="stable"):  # large sizes first, until the programme can close the rest
-        if rest <= REST:
+        if rest <= most:
             break
-        n = min(int(counts[i] - take[i]), max(0, rest - REST // 2) // max(int(sizes[i]), 1))
+        n = min(int(counts[i] - take[i]), max(0, rest - most // 2) // max(int(sizes[i]), 1))
         take[i] += n
         rest -= n * int(sizes[i])
     for i in np.argsort(sizes, kind="stable"):  # small sizes back, so that the programme has a choice
-        n = min(int(take[i]), max(0, REST - rest) // max(int(sizes[i]), 1))
+        n = min(int(take[i]), max(0, most - rest) // max(int(sizes[i]), 1))
         take[i] -= n
         rest += n * int(sizes[i])
-    rest_at_once = min(rest, REST)
-    chosen, _ = knapsack(sizes, counts - take, rest_at_once)
+    chosen, _ = knapsack(sizes, counts - take, min(rest, most))
     for i, n in chosen.items():
         take[i] += n
     return take

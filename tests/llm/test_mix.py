@@ -94,3 +94,29 @@ def test_knapsack_is_exact():
         chosen, best = M.knapsack(sizes, counts, rest)
         assert best == max(x for x in sums if x <= rest) == sum(int(sizes[i]) * n for i, n in chosen.items())
         assert all(n <= counts[i] for i, n in chosen.items())
+
+
+def test_documents_longer_than_the_programme_are_taken():
+    for sizes, counts, budget, best in (
+        ([120_000, 130_000, 140_000], [1, 1, 1], 150_000, 140_000),
+        ([150, 300, 140_000], [10, 12, 1], 142_000, 141_950),
+        ([7, 90_000, 100_000], [3, 4, 1], 280_020, 280_014),
+        ([5, 200_000], [2, 1], 100_000, 10),
+        ([40_000, 90_001, 100_000, 150_003], [2, 2, 2, 2], 500_009, 500_006),
+    ):
+        sizes, counts = np.array(sizes), np.array(counts)
+        take = M.fit_counts(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int((sizes * take).sum()) == best
+
+
+def test_a_mix_takes_long_documents(spark):
+    docs = [(i, "w " * n, "a") for i, n in enumerate((120_000, 130_000, 140_000))] + [(9, "w " * 266_700, "b")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    by = {i: s for i, _, s in docs}
+    taken, target, sizes = defaultdict(int), {}, defaultdict(list)
+    for r in rows(M.mixed(d)):
+        s = by[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        sizes[s].append(r["size"])
+    assert all(taken[s] == reachable(sizes[s], target[s]) for s in target)
