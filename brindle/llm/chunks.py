@@ -4,11 +4,13 @@ The gear hash runs over words: h = (h << 1) + gear(word).  Its low bits depend
 on the last words only, so a cut where they vanish falls at the same words
 wherever a passage stands, and an insertion moves no cut but those next to it.
 Chunks have MIN_WORDS to MAX_WORDS words.  Chunks are deduplicated by a 128-bit
-digest of their words: the document with the least doc_id keeps a chunk.
+digest of their words: the document with the least doc_id keeps a chunk, at its
+first place there.
 
-A span is a run of neighbouring chunks that all occur in other documents too
-(what repeats within one document alone is left to it); spans of at
-least SPAN_WORDS words are reported, shorter ones are left alone.  A passage
+A span is a run of neighbouring chunks that all occur at another place too, in
+another document or, `within` documents, in the same one; spans of at
+least SPAN_WORDS words are reported, shorter ones are left alone.  Without
+`within`, what repeats within one document alone is left to it.  A passage
 of 50 words that repeats holds several whole chunks.
 
 Words are separated by bytes \\x20 and \\x09-\\x0D, A-Z lower-cased for the digest.
@@ -25,7 +27,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,53 +69,62 @@ def cuts(words: list[bytes]) -> list[int]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, place (of the chunk), word, n_words, digest of every chunk."""
+    """doc_id, place (of the chunk), word, n_words, digest, seen (earlier in the same text) of every chunk."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                ids, place, word, size, digest = [], [], [], [], []
+                ids, place, word, size, digest, seen = [], [], [], [], [], []
                 for i, text in zip(batch.column(0)[a : a + 256].to_pylist(), batch.column(1)[a : a + 256].to_pylist(), strict=True):
                     words = lowered(text).split()
-                    start = 0
+                    start, before = 0, set()
                     for k, end in enumerate(cuts(words)):
                         ids.append(i)
                         place.append(k)
                         word.append(start)
                         size.append(end - start)
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words[start:end])))
+                        seen.append(digest[-1] in before)
+                        before.add(digest[-1])
                         start = end
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(word, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "place", "word", "n_words", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int32()), pa.array(word, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(seen, pa.bool_())], names=["doc_id", "place", "word", "n_words", "digest", "seen"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, place int, word int, n_words int, digest binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, place int, word int, n_words int, digest binary, seen boolean")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, place, word, n_words, first_doc, of chunks that occur in two documents or more."""
+def repeated(docs: DataFrame, within: bool) -> DataFrame:
+    """doc_id, place, word, n_words, seen, first_doc, of chunks that occur in two documents or more, or, `within` documents, at two places."""
     rows = materialise(chunk_rows(docs), "chunks")
-    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
+    if not within:
+        rows = rows.withColumn("seen", F.lit(False))
+    held = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("seen").alias("again")).where("first_doc <> last_doc or again").select("digest", "first_doc")
     return rows.join(materialise(held, "repeated-digests"), "digest").drop("digest")
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def later() -> Column:
+    """Whether a chunk has an earlier place."""
+    return (F.col("first_doc") != F.col("doc_id")) | F.col("seen")
+
+
+def runs(docs: DataFrame, within: bool) -> DataFrame:
     """repeated(), with the run of neighbouring chunks that each belongs to, and n_words 0 where a row repeats a place."""
-    rows, order = repeated(docs), Window.partitionBy("doc_id").orderBy("place", "word")
+    rows, order = repeated(docs, within), Window.partitionBy("doc_id").orderBy("place", "word")
     step = F.col("place") - F.lag("place").over(order)
     again = (step == 0) & (F.col("word") == F.lag("word").over(order))
     rows = rows.withColumn("new", F.coalesce(step > 1, F.lit(True)).cast("int")).withColumn("n_words", F.when(again, 0).otherwise(F.col("n_words")))
     return rows.withColumn("run", F.sum("new").over(order)).drop("new")
 
 
-def spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """doc_id, start, words, removed (words that an earlier document holds), first_doc of every span of at least `least` words."""
-    gone = F.when(F.col("first_doc") == F.col("doc_id"), 0).otherwise(F.col("n_words"))
-    out = runs(docs).groupBy("doc_id", "run").agg(F.min("word").alias("start"), F.sum("n_words").alias("words"), F.sum(gone).alias("removed"), F.min("first_doc").alias("first_doc"))
+def spans(docs: DataFrame, least: int = SPAN_WORDS, within: bool = False) -> DataFrame:
+    """doc_id, start, words, removed (words that an earlier place holds), first_doc of every span of at least `least` words."""
+    gone = F.when(later(), F.col("n_words")).otherwise(0)
+    out = runs(docs, within).groupBy("doc_id", "run").agg(F.min("word").alias("start"), F.sum("n_words").alias("words"), F.sum(gone).alias("removed"), F.min("first_doc").alias("first_doc"))
     return out.where(F.col("words") >= least).drop("run")
 
 
-def repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, least: int = SPAN_WORDS, within: bool = False) -> DataFrame:
     """One row for each document that holds a reported span: doc_id, n_spans, repeated_words, removed_words, longest_words, first_docs."""
-    found = spans(docs, least)
+    found = spans(docs, least, within)
     return found.groupBy("doc_id").agg(
         F.count("*").alias("n_spans"),
         F.sum("words").alias("repeated_words"),
@@ -123,10 +134,10 @@ def repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """docs without the chunks of reported spans that an earlier document holds; words cut go with the white space after them."""
-    run = runs(docs).withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
-    gone = run.where((F.col("words") >= least) & (F.col("first_doc") != F.col("doc_id")) & (F.col("n_words") > 0))
+def remove_repeats(docs: DataFrame, least: int = SPAN_WORDS, within: bool = True) -> DataFrame:
+    """docs without the chunks of reported spans that an earlier place holds; words cut go with the white space after them."""
+    run = runs(docs, within).withColumn("words", F.sum("n_words").over(Window.partitionBy("doc_id", "run")))
+    gone = run.where((F.col("words") >= least) & later() & (F.col("n_words") > 0))
     key, cut = "chunk_doc", "chunk_cuts"
     gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_set(F.struct("word", "n_words"))).alias(cut))
     names = docs.columns

@@ -43,8 +43,8 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document that shares a passage with another place."""
-    return chunks.repeats(table(spark, sf_dir, "documents"))
+    """One row for each document that shares a passage with another place, in the same document or another."""
+    return chunks.repeats(table(spark, sf_dir, "documents"), within=True)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brindle.llm import chunks as C
+from brindle.llm import queries as Q
 from tests.llm.conftest import rows
 
 SCHEMA = "doc_id long, text string, place string, words int"
@@ -49,3 +50,23 @@ def test_repeats_are_found_and_clean_documents_are_not(spark):
     assert after[300] == "" and after[301] is None and after[304] == docs[-1][1]
     assert all(len(after[i].split()) < 100 for i in held[1:]) and after[100] == dict(docs[:-2])[100]
     assert C.repeats(d.where("false")).count() == 0
+
+
+def test_repeats_within_a_document_are_found(spark, tmp_path):
+    rng = random.Random(8)
+    passage, other = text(rng, 80), text(rng, 200)
+    docs = [
+        (1, " ".join(other[:50] + passage + other[50:90] + passage + other[90:])),
+        (2, " ".join(passage)),
+        (3, " ".join(text(rng, 150))),
+        (4, "same line here again " * 100),
+    ]
+    docs.append(docs[3])  # a repeated row is no other place
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(Q.op9_substrings(spark, str(tmp_path)))}
+    assert set(got) == {1, 2, 4}
+    assert got[1]["n_spans"] == 2 and 40 < got[1]["removed_words"] <= 80 and got[4]["first_docs"] == [4] and got[4]["removed_words"] > 300
+    after = {r["doc_id"]: r["text"].split() for r in rows(C.remove_repeats(d))}
+    assert after[1][:130] == docs[0][1].split()[:130] and len(after[1]) == 360 - got[1]["removed_words"]
+    assert after[3] == docs[2][1].split() and len(after[4]) == 400 - got[4]["removed_words"] and len(after[2]) < 40
