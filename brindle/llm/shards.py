@@ -11,7 +11,9 @@ not at all, and of two writers one has to try again.  Merged runs stay until
 vacuum(), so readers of an older version are not disturbed.
 
 Rows are stored as they are: nulls, repeated rows, empty texts and further
-columns of any name come back unchanged.  Appending an empty table commits a
+columns of any name come back unchanged.  Columns that an arrival adds are null
+in the rows before it, those that it lacks are null in its own; an arrival that
+gives a column another type is refused.  Appending an empty table commits a
 version without a new run.
 """
 
@@ -109,6 +111,7 @@ class ShardStore:
     def append(self, df: DataFrame, arrivals: int = 1) -> int:
         """Commit the rows of df as `arrivals` runs of small shards, dealt in turn"""
         version, runs, schema = self.manifest()
+        schema = self._merged(schema, df.schema)
         name, part = uuid.uuid4().hex, unused(df, "arrival")
         if arrivals == 1:
             df.write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
@@ -118,7 +121,21 @@ class ShardStore:
             dealt.write.option("compression", "zstd").partitionBy(part).parquet(f"{self.root}/runs/{name}")
             new = [f"{name}/{part}={i}" for i in range(arrivals)]
         added = [r for r in map(self._measured, new) if r.files and r.bytes]
-        return self._commit(version + 1, runs + added, schema or df.schema)
+        return self._commit(version + 1, runs + added, schema)
+
+    def _merged(self, have: T.StructType | None, more: T.StructType) -> T.StructType:
+        """The columns of both, names matched as the session matches them."""
+        if have is None:
+            return more
+        same = str if self.spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+        known, fields = {same(f.name): f for f in have}, list(have.fields)
+        for f in more:
+            old = known.get(same(f.name))
+            if old is None:
+                fields.append(T.StructField(f.name, f.dataType, True, f.metadata))
+            elif old.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"column {f.name} is {old.dataType.simpleString()} in the store, {f.dataType.simpleString()} in the arrival")
+        return T.StructType(fields)
 
     def tier(self, run: Run) -> int:
         return max(0, math.floor(math.log(max(run.bytes, 1) / self.base) / math.log(self.fanout)))

@@ -49,3 +49,18 @@ def test_placed_and_empty(spark, tmp_path):
     assert all(r["_shard"] and r["shard_bytes"] > 0 and r["version"] == 2 for r in rows(out))
     empty = S.sharded(d.where("false"), str(tmp_path / "b"))
     assert empty.count() == 0 and empty.columns[:5] == d.columns
+
+
+def test_columns_of_later_arrivals_stay(spark, tmp_path):
+    store = S.ShardStore(spark, str(tmp_path), fanout=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(2, "b", 0.5)], "doc_id long, TEXT string, score double"), arrivals=2)
+    store.append(spark.createDataFrame([(3,)], "doc_id long"))
+    want = [(1, "a", None), (2, "b", 0.5), (3, None, None)]
+    assert store.read().columns == ["doc_id", "text", "score"] and sorted(map(tuple, store.read().collect())) == want
+    store.compact()
+    assert store.vacuum() and sorted(map(tuple, store.read().collect())) == want
+    version = store.versions()
+    with pytest.raises(ValueError, match="score"):
+        store.append(spark.createDataFrame([(4, "no number")], "doc_id long, score string"))
+    assert store.versions() == version and not store.vacuum()
