@@ -14,11 +14,6 @@ def year(c: str) -> Column:
     return F.year(c).cast("int")
 
 
-def code_sum(c: str) -> Column:
-    """Sum of the codes of first characters."""
-    return F.sum(F.ascii(c)).cast("long")
-
-
 def day(text: str) -> Column:
     return F.lit(text).cast("date")
 

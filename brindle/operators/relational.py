@@ -48,8 +48,14 @@ def drop(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
 
 
 def not_in(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """NOT IN with its nulls: a null on the right excludes all, a null on the left is unknown unless right is empty."""
-    return left.join(right, (left[a] == right[b]) | (left[a] == right[b]).isNull(), "left_anti")
+    """NOT IN with its nulls: a null on the right excludes all, a null on the left is unknown unless right is empty.
+
+    An anti-join on the key, which may shuffle, and one row of counts; a join
+    that is aware of nulls would broadcast the right side whatever its size.
+    """
+    seen = right.agg(F.count("*").alias("n"), F.count(b).alias("known"))
+    empty, whole = seen.select(F.col("n") == 0).scalar(), seen.select(F.col("n") == F.col("known")).scalar()
+    return left.join(right, left[a] == right[b], "left_anti").where((left[a].isNotNull() & whole) | empty)
 
 
 def with_other(left: DataFrame, right: DataFrame, same: Keys, other: tuple[str, str], exists: bool = True) -> DataFrame:
@@ -103,10 +109,10 @@ def distribution(df: DataFrame, by: Sequence[str], size: Column, name: str = "si
 
 
 def above_share(df: DataFrame, by: str, value: Column, share: float, name: str = "value") -> DataFrame:
-    """Groups whose sum exceeds a share of the sum of all: one scalar subquery, of one row."""
-    sums = df.groupBy(by).agg(money(value).alias(name))
-    bound = df.agg((money(value) * share).alias("_bound"))
-    return sums.crossJoin(F.broadcast(bound)).where(F.col(name) > F.col("_bound")).drop("_bound")
+    """Groups whose sum exceeds a share of the sum of all, which is a scalar subquery over the groups' exact sums."""
+    sums = df.groupBy(by).agg(F.sum(value).alias(name))
+    bound = sums.agg((money(F.col(name)) * share).alias("bound"))
+    return sums.select(by, F.col(name).cast("double").alias(name)).where(F.col(name) > bound.scalar())
 
 
 def extreme(df: DataFrame, by: str, value: str, least: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,18 +11,24 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalar as S
 from brindle.operators import relational as R
+from brindle.check import read_csv, write_csv
 from brindle.sources import catalog
+from brindle.streaming import chunked
 
 
 @dataclass(frozen=True)
 class Single:
+    """`build` gets the views that `sql` marks, in the catalog's order; of an operator on files also the folder for them."""
+
     build: Callable[..., DataFrame]
     sql: str
+    files: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         used = catalog.used_views(self.sql)
         catalog.load(spark, sf_dir, used)
-        return self.build(*(spark.table(v) for v in used))
+        at = (f"{catalog.shared_folder(spark)}/files/{uuid.uuid4().hex}",) if self.files else ()
+        return self.build(*(spark.table(v) for v in used), *at)
 
     def oracle(self) -> str:
         return catalog.portable(self.sql)
@@ -49,9 +56,37 @@ def _parts_sql(where: str) -> str:
 
 c = F.col
 
+def _tbl(df: DataFrame, name: str, at: str) -> DataFrame:
+    """Through a pipe-separated file."""
+    catalog.write_tbl(df, at, name)
+    return catalog.read_tbl(df.sparkSession, at, name)
+
+
+def _ingested(df: DataFrame, name: str, at: str) -> DataFrame:
+    """Through a pipe-separated file and Parquet."""
+    catalog.write_tbl(df, f"{at}/{name}.tbl", name)
+    catalog.ingest_all(df.sparkSession, at, f"{at}/out")
+    return catalog.source(df.sparkSession, f"{at}/out", name)
+
+
+def _csv(df: DataFrame, at: str) -> DataFrame:
+    """Through CSV."""
+    write_csv(df, at)
+    return read_csv(df.sparkSession, at, df.schema)
+
+
+def _chunks(li: DataFrame, at: str) -> DataFrame:
+    """The same aggregate while the table's files arrive one by one."""
+    df = li.select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
+    df.repartition(7).write.parquet(f"{at}/in")
+    stream = chunked.arriving(df.sparkSession, f"{at}/in", df.schema, files=2)
+    sums = chunked.running(stream, ["l_returnflag", "l_linestatus"], n=F.count("*"), qty=R.money(c("l_quantity")), price=R.money(c("l_extendedprice")))
+    return chunked.drain(sums, f"chunks_{uuid.uuid4().hex}", f"{at}/state")
+
+
 #: The views are passed to `build` in the catalog's order: region, nation, supplier, customer, part, partsupp, orders, lineitem.
 SINGLES: dict[str, Single] = {
-    "op_scan_project": Single(lambda li: R.scan(li, ["l_orderkey", "l_linenumber", "l_returnflag"], c("l_orderkey") < 100), "SELECT l_orderkey, l_linenumber, l_returnflag FROM {lineitem} WHERE l_orderkey < 100"),
+    "op_scan_project": Single(lambda li: R.scan(li, ["l_orderkey", "l_linenumber", "l_returnflag"], c("l_returnflag") == "R"), "SELECT l_orderkey, l_linenumber, l_returnflag FROM {lineitem} WHERE l_returnflag = 'R'"),
     "op_filter_cmp": Single(_lines(lambda: (c("l_quantity") >= 10) & (c("l_linenumber") != 2)), _lines_sql("l_quantity >= 10 AND l_linenumber <> 2")),
     "op_filter_between": Single(_lines(lambda: c("l_quantity").between(5, 15)), _lines_sql("l_quantity BETWEEN 5 AND 15")),
     "op_filter_not_between": Single(_lines(lambda: ~c("l_quantity").between(5, 15)), _lines_sql("l_quantity NOT BETWEEN 5 AND 15")),
@@ -84,7 +119,7 @@ SINGLES: dict[str, Single] = {
         lambda li: R.aggregate(R.with_other(R.with_other(li, _as(li), {"l_orderkey": "o_l_orderkey"}, ("l_suppkey", "o_l_suppkey")), _as(li.where("l_receiptdate > l_commitdate"), "p_"), {"l_orderkey": "p_l_orderkey"}, ("l_suppkey", "p_l_suppkey"), exists=False), n=F.count("*")),
         "SELECT COUNT(*) AS n FROM {lineitem} a WHERE EXISTS (SELECT * FROM {lineitem} b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey) AND NOT EXISTS (SELECT * FROM {lineitem} d WHERE d.l_orderkey = a.l_orderkey AND d.l_suppkey <> a.l_suppkey AND d.l_receiptdate > d.l_commitdate)",
     ),
-    "op_not_in_null_aware": Single(lambda s, ps: R.aggregate(R.not_in(ps, s.where("s_suppkey % 23 = 0"), "ps_suppkey", "s_suppkey"), n=F.count("*")), "SELECT COUNT(*) AS n FROM {partsupp} WHERE ps_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_suppkey % 23 = 0)"),
+    "op_not_in_null_aware": Single(lambda s, ps: R.aggregate(R.not_in(ps, s.where(c("s_comment").like("%Customer%Complaints%")), "ps_suppkey", "s_suppkey"), n=F.count("*")), "SELECT COUNT(*) AS n FROM {partsupp} WHERE ps_suppkey NOT IN (SELECT s_suppkey FROM {supplier} WHERE s_comment LIKE '%Customer%Complaints%')"),
     "op_agg_scalar": Single(lambda li: R.aggregate(li, n=F.count("*"), price=R.money(c("l_extendedprice")), low=F.min("l_linenumber"), high=F.max("l_linenumber")), "SELECT COUNT(*) AS n, CAST(SUM(l_extendedprice) AS DOUBLE) AS price, MIN(l_linenumber) AS low, MAX(l_linenumber) AS high FROM {lineitem}"),
     "op_agg_empty": Single(lambda li: R.aggregate(li.where("l_quantity < 0"), n=F.count("*"), price=R.money(c("l_extendedprice")), avg_price=R.mean(c("l_extendedprice"))), "SELECT COUNT(*) AS n, CAST(SUM(l_extendedprice) AS DOUBLE) AS price, CAST(AVG(l_extendedprice) AS DOUBLE) AS avg_price FROM {lineitem} WHERE l_quantity < 0"),
     "op_agg_keyed": Single(lambda li: R.aggregate(li, ["l_returnflag", "l_linestatus"], n=F.count("*"), qty=R.money(c("l_quantity")), low=F.min("l_quantity").cast("double"), high=F.max("l_quantity").cast("double"), avg_qty=R.mean(c("l_quantity"))), "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_quantity) AS DOUBLE) AS qty, CAST(MIN(l_quantity) AS DOUBLE) AS low, CAST(MAX(l_quantity) AS DOUBLE) AS high, CAST(SUM(l_quantity) AS DOUBLE) / COUNT(*) AS avg_qty FROM {lineitem} GROUP BY l_returnflag, l_linestatus"),
@@ -99,6 +134,10 @@ SINGLES: dict[str, Single] = {
     "op_view_max": Single(lambda li: R.top(R.aggregate(li, ["l_suppkey"], revenue=R.money(S.volume())), 1, F.desc("revenue"), "l_suppkey"), "WITH r AS (SELECT l_suppkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM {lineitem} GROUP BY l_suppkey) SELECT MIN(l_suppkey) AS l_suppkey, CAST(MAX(revenue) AS DOUBLE) AS revenue FROM r WHERE revenue = (SELECT MAX(revenue) FROM r)"),
     "op_topk": Single(lambda o: R.top(o, 25, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", c("o_totalprice").cast("double").alias("price")), "SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "op_sort": Single(lambda s: s.select("s_suppkey", "s_name", c("s_acctbal").cast("double").alias("s_acctbal")).orderBy(F.desc("s_acctbal"), "s_suppkey"), "SELECT s_suppkey, s_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM {supplier} ORDER BY s_acctbal DESC, s_suppkey"),
+    "op_src_tbl": Single(lambda cu, at: _tbl(cu, "customer", at).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_phone").alias("phone"), R.money(c("c_acctbal")).alias("balance")), "SELECT c_nationkey, COUNT(*) AS n, MIN(c_phone) AS phone, CAST(SUM(c_acctbal) AS DOUBLE) AS balance FROM {customer} GROUP BY c_nationkey", files=True),
+    "op_ingest": Single(lambda s, at: _ingested(s, "supplier", at).select("s_suppkey", "s_name", "s_address", c("s_acctbal").cast("double").alias("s_acctbal"), "s_comment"), "SELECT s_suppkey, s_name, s_address, CAST(s_acctbal AS DOUBLE) AS s_acctbal, s_comment FROM {supplier}", files=True),
+    "op_csv": Single(lambda s, at: _csv(s.select("s_suppkey", "s_name", c("s_acctbal").cast("double").alias("s_acctbal")), at), "SELECT s_suppkey, s_name, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM {supplier}", files=True),
+    "op_chunked": Single(_chunks, "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_quantity) AS DOUBLE) AS qty, CAST(SUM(l_extendedprice) AS DOUBLE) AS price FROM {lineitem} GROUP BY l_returnflag, l_linestatus", files=True),
     "op_name_lookup": Single(lambda r, n: R.lookup(n, r, {"n_regionkey": "r_regionkey"}).where(c("r_name") == "ASIA").select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey AND r_name = 'ASIA'"),
 }
 

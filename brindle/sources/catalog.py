@@ -1,28 +1,34 @@
 """The eight-table star schema: types, loaders and registered views.
 
-Two layouts are read: the full schema (pipe-separated ``.tbl`` files or Parquet
-with all columns), and the reduced Parquet files of the test data, whose missing
-columns and whose missing ``partsupp`` are derived.  The derivation is SQL text
-that Spark and any other engine can run alike, so results stay comparable;
-derived data are synthetic.
+Each table of a folder is Parquet or, failing that, a pipe-separated ``.tbl``
+file.  A table with all columns of the full schema is read as it is.  Of the
+reduced test files, the missing columns and the missing ``partsupp`` are
+derived.  The derivation is SQL text that Spark and any other engine can run
+alike, so results stay comparable; derived data are synthetic.
 """
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructType, TimestampNTZType, TimestampType
 
 # The published column lists of the schema.
 SCHEMAS: dict[str, str] = {
     "region": "r_regionkey int, r_name string, r_comment string",
     "nation": "n_nationkey int, n_name string, n_regionkey int, n_comment string",
-    "supplier": "s_suppkey int, s_name string, s_address string, s_nationkey int, s_phone string, s_acctbal decimal(15,2), s_comment string",
-    "customer": "c_custkey int, c_name string, c_address string, c_nationkey int, c_phone string, c_acctbal decimal(15,2), c_mktsegment string, c_comment string",
-    "part": "p_partkey int, p_name string, p_mfgr string, p_brand string, p_type string, p_size int, p_container string, p_retailprice decimal(15,2), p_comment string",
-    "partsupp": "ps_partkey int, ps_suppkey int, ps_availqty int, ps_supplycost decimal(15,2), ps_comment string",
-    "orders": "o_orderkey int, o_custkey int, o_orderstatus string, o_totalprice decimal(15,2), o_orderdate date, o_orderpriority string, o_clerk string, o_shippriority int, o_comment string",
-    "lineitem": "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity decimal(15,2), l_extendedprice decimal(15,2), l_discount decimal(15,2), l_tax decimal(15,2), l_returnflag string, l_linestatus string, l_shipdate date, l_commitdate date, l_receiptdate date, l_shipinstruct string, l_shipmode string, l_comment string",
+    "supplier": "s_suppkey bigint, s_name string, s_address string, s_nationkey int, s_phone string, s_acctbal decimal(15,2), s_comment string",
+    "customer": "c_custkey bigint, c_name string, c_address string, c_nationkey int, c_phone string, c_acctbal decimal(15,2), c_mktsegment string, c_comment string",
+    "part": "p_partkey bigint, p_name string, p_mfgr string, p_brand string, p_type string, p_size int, p_container string, p_retailprice decimal(15,2), p_comment string",
+    "partsupp": "ps_partkey bigint, ps_suppkey bigint, ps_availqty int, ps_supplycost decimal(15,2), ps_comment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice decimal(15,2), o_orderdate date, o_orderpriority string, o_clerk string, o_shippriority int, o_comment string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity decimal(15,2), l_extendedprice decimal(15,2), l_discount decimal(15,2), l_tax decimal(15,2), l_returnflag string, l_linestatus string, l_shipdate date, l_commitdate date, l_receiptdate date, l_shipinstruct string, l_shipmode string, l_comment string",
 }
 
 #: Views over the reduced files (``raw_<table>``), as SQL that both engines run.
@@ -63,16 +69,109 @@ DERIVED: dict[str, str] = {
         FROM raw_lineitem""",
 }
 
+#: Derived tables that are written once, not derived again in every query.
+KEPT = ("partsupp",)
+
 _FROM = re.compile(r"\braw_(\w+)\b")
 
+#: Schemas of Parquet sources, by path, bytes and time of change, so that footers are read once for each state of a file.
+_SEEN: dict[tuple, StructType] = {}
+#: Written derived tables, by their text and the state of what they are derived from.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple | None:
+    """Path, bytes and time of change, of a folder those of its files; None if there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    own = fs.getFileStatus(at)
+    if own.isFile():
+        return (spark.sparkContext.applicationId, path, own.getLen(), own.getModificationTime())
+    files = fs.listStatus(at)
+    return (spark.sparkContext.applicationId, path, sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0), len(files))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _state(spark, path) is not None
+
+
+def locate(spark: SparkSession, folder: str, name: str) -> tuple[str, str, tuple] | None:
+    """(format, path, state) of a table: Parquet if there is some, else a ``.tbl`` file or folder; None without either."""
+    for kind, path in (("parquet", f"{folder}/{name}.parquet"), ("parquet", f"{folder}/{name}"), ("tbl", f"{folder}/{name}.tbl")):
+        state = _state(spark, path)
+        if state:
+            return kind, path, state
+    return None
+
+
+def source(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The table as it is stored, or None."""
+    found = locate(spark, folder, name)
+    if found is None:
+        return None
+    kind, path, state = found
+    if kind == "tbl":
+        return read_tbl(spark, path, name)
+    if state not in _SEEN:
+        _SEEN[state] = spark.read.parquet(path).schema
+    return spark.read.schema(_SEEN[state]).parquet(path)
 
-def load(spark: SparkSession, sf_dir: str, views: tuple[str, ...] = tuple(DERIVED)) -> SparkSession:
-    """Register the reduced files and the derived views; only the named ones and what they need."""
-    for name in sorted({m for v in views for m in _FROM.findall(DERIVED[v])}):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"raw_{name}")
+
+def typed(df: DataFrame, name: str) -> DataFrame:
+    """df in the types of the full schema; dates that are stored as timestamps at midnight stay so."""
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(SCHEMAS[name])}
+    have = {f.name: f.dataType for f in df.schema}
+    keep = {c for c, t in kinds.items() if have[c] == t or (t == DateType() and isinstance(have[c], (TimestampType, TimestampNTZType)))}
+    return df.select(*(F.col(c) if c in keep else F.col(c).cast(t).alias(c) for c, t in kinds.items()))
+
+
+def is_full(df: DataFrame | None, name: str) -> bool:
+    return df is not None and set(StructType.fromDDL(SCHEMAS[name]).names) <= set(df.columns)
+
+
+def load(spark: SparkSession, folder: str, views: tuple[str, ...] = tuple(DERIVED)) -> bool:
+    """Register views; True if all come from tables of the full schema, False if one of them is derived from reduced files."""
+    full, reduced = True, set()
     for v in views:
-        spark.sql(DERIVED[v]).createOrReplaceTempView(v)
-    return spark
+        df = source(spark, folder, v)
+        if is_full(df, v):
+            typed(df, v).createOrReplaceTempView(v)
+        else:
+            full = False
+            reduced.add(v)
+    for name in sorted({m for v in reduced for m in _FROM.findall(DERIVED[v])}):
+        df = source(spark, folder, name)
+        if df is None:
+            raise FileNotFoundError(f"neither {name}.parquet nor {name}.tbl in {folder}")
+        df.createOrReplaceTempView(f"raw_{name}")
+    for v in reduced:
+        (_kept(spark, folder, v) if v in KEPT else spark.sql(DERIVED[v])).createOrReplaceTempView(v)
+    return full
+
+
+def _kept(spark: SparkSession, folder: str, view: str) -> DataFrame:
+    """A derived table that costs a pass over its sources, written once for each state of them, in the folder that the cluster shares."""
+    key = (DERIVED[view], *(locate(spark, folder, name)[2] for name in sorted(set(_FROM.findall(DERIVED[view])))))
+    df = spark.sql(DERIVED[view])
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/derived/{view}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema(df.schema).parquet(_WRITTEN[key])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder below spark.checkpoint.dir.  A local master without that setting has one process and gets a folder of its own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        found = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/brindle"
 
 
 def on_views(sql: str) -> str:
@@ -94,8 +193,25 @@ def portable(sql: str) -> str:
 
 
 def read_tbl(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A pipe-separated file of the full schema, with or without the bar that ends its lines; splittable, never inferred."""
-    return spark.read.csv(path, sep="|", schema=f"{SCHEMAS[name]}, _end string", quote="", mode="PERMISSIVE").drop("_end")
+    """A pipe-separated file of the full schema; splittable, never inferred.
+
+    The first line says whether lines end in a bar.  A line of another width, or
+    a value that its column's type does not hold, fails the read; for that, lines
+    are parsed whole, so ingest what is read more than once.
+    """
+    width = len(StructType.fromDDL(SCHEMAS[name]))
+    first = spark.read.text(path).where("value <> ''").first()
+    ended = first is not None and first["value"].count("|") >= width
+    schema = f"{SCHEMAS[name]}, _end string" if ended else SCHEMAS[name]
+    df = spark.read.option("columnPruning", False).csv(path, sep="|", schema=schema, quote="", mode="FAILFAST")
+    return df.drop("_end")
+
+
+def write_tbl(df: DataFrame, path: str, name: str) -> None:
+    """Rows as pipe-separated lines that end in a bar; values with a bar or a line break are refused."""
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in StructType.fromDDL(SCHEMAS[name]).names]
+    safe = [F.when(c.rlike(r"[|\r\n]"), F.raise_error(F.concat(F.lit("no bar or line break in a value: "), c))).otherwise(c) for c in columns]
+    df.select(F.concat(F.concat_ws("|", *safe), F.lit("|")).alias("value")).write.text(path)
 
 
 def ingest(spark: SparkSession, path: str, name: str, out: str, **partitioning) -> DataFrame:
@@ -104,8 +220,12 @@ def ingest(spark: SparkSession, path: str, name: str, out: str, **partitioning)
     return spark.read.schema(SCHEMAS[name]).parquet(out)
 
 
-def register(spark: SparkSession, folder: str) -> SparkSession:
-    """Views over a folder of full-schema Parquet tables."""
-    for name, schema in SCHEMAS.items():
-        spark.read.schema(schema).parquet(f"{folder}/{name}").createOrReplaceTempView(name)
-    return spark
+def ingest_all(spark: SparkSession, folder: str, out: str) -> list[str]:
+    """Every ``.tbl`` table of a folder as Parquet in another; the names of those found."""
+    done = []
+    for name in SCHEMAS:
+        found = locate(spark, folder, name)
+        if found and found[0] == "tbl":
+            ingest(spark, found[1], name, f"{out}/{name}.parquet")
+            done.append(name)
+    return done

@@ -1,0 +1,61 @@
+"""A tiny table set of the full schema, with values that the standard parameters select."""
+
+from __future__ import annotations
+
+import datetime
+import random
+from decimal import Decimal
+
+from brindle.sources.catalog import SCHEMAS
+
+# Names that the standard parameters look for, and others beside them.
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+NATIONS = (("KENYA", 0), ("BRAZIL", 1), ("CANADA", 1), ("INDIA", 2), ("CHINA", 2), ("FRANCE", 3), ("GERMANY", 3), ("SAUDI ARABIA", 4))
+TYPES = ("ECONOMY ANODIZED STEEL", "PROMO PLATED BRASS", "MEDIUM POLISHED TIN", "STANDARD BRUSHED BRASS")
+BRANDS = ("Brand#12", "Brand#23", "Brand#34", "Brand#45")
+CONTAINERS = ("SM CASE", "SM BOX", "MED BOX", "MED BAG", "LG CASE", "LG BOX")
+MODES = ("AIR", "REG AIR", "MAIL", "SHIP", "TRUCK")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+NAMES = ("forest green", "green lace", "forest rose", "sky blue")
+
+
+def money(rng, low, high):
+    return Decimal(rng.randint(low * 100, high * 100)) / 100
+
+
+def phone(rng, nation):
+    return f"{10 + nation}-{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+
+
+def tables(seed: int = 5) -> dict[str, list[tuple]]:
+    rng = random.Random(seed)
+    big = 2**40  # keys beyond 32 bits
+    out = {"region": [(i, n, "r") for i, n in enumerate(REGIONS)], "nation": [(10 + i, n, r, None) for i, (n, r) in enumerate(NATIONS)]}
+    nations = [n[0] for n in out["nation"]]
+    suppliers = range(1, 41)
+    out["supplier"] = [(big + s, f"Supplier#{s:09d}", f"at, {s}", n := nations[s % len(nations)], phone(rng, n), money(rng, -900, 9000), "the Customer has Complaints" if s % 13 == 0 else "calm") for s in suppliers]
+    parts = range(1, 161)
+    out["part"] = [(p, NAMES[p % 4], f"Manufacturer#{p % 5}", BRANDS[p % 4], TYPES[(p // 4) % 4], (15, 49, 14, 3, 5)[p % 5], CONTAINERS[p % 6], money(rng, 900, 1900), "c") for p in parts]
+    pairs = [(p, big + s) for p in parts for s in sorted(rng.sample(suppliers, 4))]
+    out["partsupp"] = [(p, s, rng.randint(1, 60), money(rng, 1, 40), "c") for p, s in pairs]
+    customers = range(1, 121)
+    out["customer"] = [(c, f"Customer#{c:09d}", "street", n := nations[c % len(nations)], phone(rng, rng.choice((3, 7, 8, 13))), money(rng, -900, 9000), rng.choice(("BUILDING", "MACHINERY")), "x") for c in customers]
+    out["orders"], out["lineitem"] = [], []
+    for o in range(1, 1201):
+        day = datetime.date(1992, 1, 1) + datetime.timedelta(rng.randint(0, 2400))
+        key = big + o
+        lines = rng.randint(1, 7)
+        status = rng.choice("FOP")
+        out["orders"].append((key, rng.choice(customers) // 3 * 3 + 1, status, money(rng, 1000, 90000), day, rng.choice(PRIORITIES), "clerk", 0, "special packed requests" if o % 9 == 0 else "plain"))
+        for n in range(1, lines + 1):
+            p, s = rng.choice(pairs)
+            ship = day + datetime.timedelta(rng.randint(1, 120))
+            commit = day + datetime.timedelta(rng.randint(30, 90))
+            receipt = ship + datetime.timedelta(rng.randint(1, 30))
+            quantity = Decimal(50) if o % 40 == 0 else Decimal(rng.randint(1, 50))
+            out["lineitem"].append((key, p, s, n, quantity, money(rng, 900, 9000), Decimal(rng.randint(0, 10)) / 100, Decimal(rng.randint(0, 8)) / 100, rng.choice("RAN"), rng.choice("OF"), ship, commit, receipt, rng.choice(("DELIVER IN PERSON", "NONE")), rng.choice(MODES), 'odd "words"'))
+    return out
+
+
+def frames(spark):
+    return {name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in tables().items()}
