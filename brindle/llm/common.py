@@ -58,16 +58,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/brindle/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/brindle/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application's operators have written; DataFrames that they returned cannot be read any more."""
+    delete(spark, own_dir(spark))
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors, gives true sizes."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
+    return _written(df, fresh_path(df.sparkSession, tag))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that an operator needs while it works, deleted when it is done.
+
+    What its result reads is written by materialise() instead, and stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self._paths:
+            delete(self._spark, path)
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self._paths.append(fresh_path(self._spark, tag))
+        return _written(df, self._paths[-1])
 
 
 def sized(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
