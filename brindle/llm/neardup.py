@@ -249,15 +249,16 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Dat
         rows = materialise(sketches(docs, k), "sketches")
         sets = keep(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "sets")
         # the sketches of those that stand for their sets
-        own = rows.alias("r").join(sets.alias("s"), F.expr("r.digest = s.digest and r.doc_id = s.id")).select("s.id", "r.bands", "r.bits", F.col("r.n_shingles").alias("n"))
-        own = keep(own.dropDuplicates(["id", "n", "bits"]), "representatives")
+        own = rows.alias("r").join(sets.alias("s"), F.expr("r.digest = s.digest and r.doc_id = s.id")).select("s.id", "s.digest", "r.bands", "r.bits", F.col("r.n_shingles").alias("n"))
+        again = not rows.where("digest is not null and doc_id is not null").groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
+        own = keep(own.dropDuplicates(["id", "digest"]) if again else own, "representatives")
         bands = own.select("id", F.explode("bands").alias("key"))
         buckets = keep(bands.groupBy("key").agg(F.min("id").alias("m"), F.count("*").alias("c")).where("c > 1"), "buckets")
         members = keep(bands.join(buckets, "key"), "members")
         star = keep(members.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct(), "star-pairs")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
         texts = texts.join(keep(star.select("a").union(star.select("b")).distinct().withColumnRenamed("a", "doc_id"), "linked-ids"), "doc_id", "left_semi")
-        texts = keep(texts, "linked-texts")
+        texts = keep(texts.dropDuplicates(["doc_id", "text"]) if again else texts, "linked-texts")
         links = keep(confirm(star, texts, k, percent), "links")
         labels = components(links)
         held = members.where("c > 2").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "c")
