@@ -2,20 +2,23 @@
 
 A document's size is its number of words.  Each source has a target of words;
 whole rounds of the source (0, 1 or 2) are taken first, and what is left of the
-target is fitted exactly: documents are counted by source and size, a share of
-every size is taken, and a bounded-knapsack dynamic programme over the sizes
-closes the rest.  Within a source and size the documents are ordered by a
-seeded hash of doc_id and text, and the first so many get one round more.
+target is fitted: documents are counted by source and size, a share of every
+size is taken, and a bounded-knapsack dynamic programme over the sizes closes
+the rest, exactly for rests up to WIDEST words.  Within a source and size the
+documents are ordered by a seeded hash of doc_id and text, rows that agree in
+both by a number, and the first so many get one round more.
 
 Only counts per (source, size, slice of the hash) are gathered by key, so a hot
-source or a hot size is spread over slices: a source reaches one task as its
-histogram of sizes, never as its documents.
-
-Null texts have size 0.  Null sources are one source, weighed last.  Documents
-of size 0 take no words; they keep the whole rounds of their source, one at
-least.  Rows that repeat doc_id and text share one fate, so a source that
-consists of such rows may come less near its target.  An empty table gives no
-rows.
+source or a hot size is spread over slices, and so are rows that all repeat one
+document: a source reaches one task as its histogram of sizes, never as its
+documents.
+
+Null texts have size 0, very long ones their number of words like others.  Null
+sources are one source, weighed last.  Documents of size 0 take no words; they
+keep the whole rounds of their source, one at least.  Of rows that repeat doc_id
+and text so many as the mix needs get the further round, which of them is left
+open.  An empty table gives no rows.  Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import materialise, sized, spaced_words, unused
+from brindle.llm.common import Scratch, materialise, sized, spaced_words, unused
 
 # Weights by place of the source in order, share of all sizes, most rounds.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Slices of the hash; a group of one source and size is ranked within a slice.
+#: Slices of a hash, by its 12 highest bits; a group of one source and size is ranked by slices first.
 SLICES = 4096
 #: Words that the dynamic programme may close at once; twice the longest document that the budget holds, where that is more.
 REST = 1 << 16
@@ -38,15 +41,21 @@ REST = 1 << 16
 WIDEST = 1 << 24
 
 
+def ordered(seed: int) -> dict[str, Column]:
+    """h, which orders the documents, and tie, which orders rows of equal h; tie is a number of the row, so write it before it is used."""
+    return {"h": F.xxhash64(F.lit(seed), "doc_id", "text"), "tie": F.xxhash64(F.lit(seed), F.monotonically_increasing_id())}
+
+
 def with_size(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size, h of every row."""
+    """doc_id, source, h, tie, size of every row."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(spaced_words(t)) for t in batch.column(3).to_pylist()], pa.int64())], names=["doc_id", "source", "h", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(spaced_words(t)) for t in batch.column(4).to_pylist()], pa.int64())], names=["doc_id", "source", "h", "tie", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, source string, h long, size long")
+    columns = (c.alias(n) for n, c in ordered(seed).items())
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), *columns, "text").mapInArrow(run, f"doc_id {kind}, source string, h long, tie long, size long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -139,35 +148,55 @@ def fit_within(sizes: np.ndarray, counts: np.ndarray, budget: int, most: int) ->
     return take
 
 
-def plan(thin: DataFrame, **weights) -> DataFrame:
-    """source, size, source_size, target, rounds, below: one round more for documents with h <= below."""
-    slices = thin.groupBy("source", "size", F.shiftrightunsigned("h", 52).alias("slice")).agg(F.count("*").alias("n"))
-    slices = materialise(slices, "mix-slices")
-    hist = slices.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    goal = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **weights)
-
-    def choose(key, pdf):
-        own = pdf.sort_values("size", ignore_index=True)
-        sizes, counts = own["size"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-        total, target = int((sizes * counts).sum()), float(own["target"].iloc[0])
-        rounds = int((target + 1e-6) // total) if total else 1
-        own["rounds"] = np.where(sizes > 0, rounds, max(rounds, 1))
-        own["take"] = np.where(sizes > 0, fit_counts(sizes, counts, int(target + 1e-6) - rounds * total), 0)
-        return own[["source", "size", "source_size", "target", "rounds", "n", "take"]]
-
-    hist = hist.alias("a").join(goal.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "a.size", "a.n", "b.source_size", "b.target")
-    quota = hist.groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, rounds long, n long, take long")
-    quota = materialise(quota, "mix-quota")
-    some = quota.where("take > 0 and take < n").select("source", "size", "take")
+def edges(rows: DataFrame, ranks: DataFrame, x: str, keep: Scratch) -> DataFrame:
+    """source, size, at, rank, held: of each (source, size) in `ranks` the value of x at which the rank-th row stands, its rank among the rows of that value, and how many these are.
+
+    x is spread evenly over 64 bits and ordered as unsigned.  Counts by its
+    SLICES highest values find the slice, counts by value within that slice the
+    value; both combine before they shuffle.
+    """
+    top = F.shiftrightunsigned(x, 65 - SLICES.bit_length())
+    slices = keep(_match(rows, sized(ranks), "rank").groupBy("source", "size", "rank", top.alias("slice")).agg(F.count("*").alias("n")), "mix-slices")
     order = Window.partitionBy("source", "size").orderBy("slice")
-    at = _match(slices, sized(some), "take").withColumn("before", F.sum("n").over(order) - F.col("n")).where("before < take and take <= before + n")
-    at = materialise(at.select("source", "size", "slice", (F.col("take") - F.col("before")).alias("rank")), "mix-edges")
-    ranked = Window.partitionBy("source", "size", "slice").orderBy("h")
-    cut = thin.withColumn("slice", F.shiftrightunsigned("h", 52)).alias("a").join(sized(at).alias("b"), F.expr("a.source <=> b.source and a.size = b.size and a.slice = b.slice"))
-    cut = cut.select("a.source", "a.size", "a.slice", "a.h", "b.rank").withColumn("r", F.row_number().over(ranked)).where("r = rank").select("source", "size", F.col("h").alias("below"))
-    out = quota.alias("a").join(cut.alias("b"), F.expr("a.source <=> b.source and a.size = b.size"), "left")
-    whole = F.expr("rounds + if(take = n and take > 0, 1, 0)")
-    return materialise(out.select("a.source", "a.size", "source_size", "target", whole.alias("rounds"), F.expr("if(take > 0 and take < n, below, null)").alias("below")), "mix-plan")
+    at = slices.withColumn("before", F.sum("n").over(order) - F.col("n")).where("before < rank and rank <= before + n")
+    at = keep(at.select("source", "size", "slice", (F.col("rank") - F.col("before")).alias("rank")), "mix-edges")
+    inside = rows.withColumn("slice", top).alias("a").join(sized(at).alias("b"), F.expr("a.source <=> b.source and a.size = b.size and a.slice = b.slice"))
+    values = inside.groupBy("a.source", "a.size", "b.rank", F.col(f"a.{x}").alias("at")).agg(F.count("*").alias("held"))
+    order = Window.partitionBy("source", "size").orderBy("at")  # within a slice the order is the same, signed or not
+    values = values.withColumn("before", F.sum("held").over(order) - F.col("held")).where("before < rank and rank <= before + held")
+    return keep(values.select("source", "size", "at", (F.col("rank") - F.col("before")).alias("rank"), "held"), "mix-values")
+
+
+def plan(thin: DataFrame, **weights) -> DataFrame:
+    """source, size, source_size, target, rounds, below, below_tie: one round more for rows up to (below, below_tie); a null tie is all of below."""
+    with Scratch(thin.sparkSession) as keep:
+        hist = keep(thin.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+        goal = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **weights)
+
+        def choose(key, pdf):
+            own = pdf.sort_values("size", ignore_index=True)
+            sizes, counts = own["size"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
+            total, target = int((sizes * counts).sum()), float(own["target"].iloc[0])
+            rounds = int((target + 1e-6) // total) if total else 1
+            own["rounds"] = np.where(sizes > 0, rounds, max(rounds, 1))
+            own["take"] = np.where(sizes > 0, fit_counts(sizes, counts, int(target + 1e-6) - rounds * total), 0)
+            return own[["source", "size", "source_size", "target", "rounds", "n", "take"]]
+
+        hist = hist.alias("a").join(goal.alias("b"), F.expr("a.source <=> b.source")).select("a.source", "a.size", "a.n", "b.source_size", "b.target")
+        quota = hist.groupBy("source").applyInPandas(choose, "source string, size long, source_size long, target double, rounds long, n long, take long")
+        quota = keep(quota, "mix-quota")
+        some = keep(quota.where("take > 0 and take < n").select("source", "size", F.col("take").alias("rank")), "mix-ranks")
+        cut = edges(thin, some, "h", keep)
+        # rows of one hash beyond what is needed of them repeat a document
+        split = keep(cut.where("rank < held").select("source", "size", "at", "rank"), "mix-ties")
+        tied = thin.alias("a").join(sized(split).alias("b"), F.expr("a.source <=> b.source and a.size = b.size and a.h = b.at")).select("a.source", "a.size", "a.tie")
+        ties = edges(tied, split.drop("at"), "tie", keep).select("source", "size", F.col("at").alias("below_tie"))
+        cut = cut.select("source", "size", F.col("at").alias("below"))
+        on = "a.source <=> b.source and a.size = b.size"
+        cut = cut.alias("a").join(ties.alias("b"), F.expr(on), "left").select("a.*", "b.below_tie")
+        out = quota.alias("a").join(cut.alias("b"), F.expr(on), "left")
+        whole = F.expr("rounds + if(take = n and take > 0, 1, 0)")
+        return materialise(out.select("a.source", "a.size", "source_size", "target", whole.alias("rounds"), "below", "below_tie"), "mix-plan")
 
 
 def _match(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
@@ -175,31 +204,36 @@ def _match(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
     return left.alias("a").join(right.alias("b"), F.expr("a.source <=> b.source and a.size = b.size")).select("a.*", *(f"b.{c}" for c in more))
 
 
-def copies(h: Column, rounds: Column, below: Column) -> Column:
-    """Rounds, and one more up to the cut; slices go by the unsigned hash, so the cut does."""
+def copies(h: Column, tie: Column, rounds: Column, below: Column, below_tie: Column) -> Column:
+    """Rounds, and one more up to the cut; the hashes are ordered as unsigned."""
     flip = F.lit(-(2**63))
-    return (rounds + F.when(h.bitwiseXOR(flip) <= below.bitwiseXOR(flip), 1).otherwise(0)).cast("long")
+    h, below, tie, below_tie = (c.bitwiseXOR(flip) for c in (h, below, tie, below_tie))
+    more = (h < below) | ((h == below) & F.coalesce(tie <= below_tie, F.lit(True)))
+    return (rounds + F.when(more, 1).otherwise(0)).cast("long")
 
 
 def mixed(docs: DataFrame, seed: int = 7, **weights) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    thin = materialise(with_size(docs, seed), "mix-sizes")
-    got = _match(thin, sized(plan(thin, **weights)), "source_size", "target", "rounds", "below")
-    return got.select("doc_id", "size", "source_size", "target", (copies(F.col("h"), F.col("rounds"), F.col("below")) * F.col("size")).alias("taken"))
+    thin = materialise(with_size(docs, seed), "mix-thin")
+    got = _match(thin, sized(plan(thin, **weights)), "source_size", "target", "rounds", "below", "below_tie")
+    times = copies(*(F.col(c) for c in ("h", "tie", "rounds", "below", "below_tie")))
+    return got.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, seed: int = 7, **weights) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns stay."""
-    thin = materialise(with_size(docs, seed), "mix-sizes")
-    rule = sized(plan(thin, **weights).select(*(F.col(c).alias(unused(docs, f"mix_{c}")) for c in ("source", "size", "rounds", "below"))))
-    source, size, rounds, below = rule.columns
-    n, at = unused(docs, "mix_n"), docs.columns.index("text")
+    """docs with each row as often as the mix takes it; the columns stay.  Nulls, empties, repeats and an empty table are as the module says."""
+    own = {c: unused(docs, f"mix_{c}") for c in ("h", "tie", "size", "source", "rounds", "below", "below_tie")}
+    at = docs.columns.index("text")
 
     def count(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(spaced_words(t)) for t in batch.column(at).to_pylist()], pa.int64())], names=[*batch.schema.names, n])
-
-    counted = docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(n, T.LongType())]))
-    got = counted.join(rule, F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(n) == F.col(size)))
-    times = copies(F.xxhash64(F.lit(seed), "doc_id", "text"), F.col(rounds), F.col(below))
-    return got.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(n)).drop(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(spaced_words(t)) for t in batch.column(at).to_pylist()], pa.int64())], names=[*batch.schema.names, own["size"]])
+
+    numbered = docs.withColumns({own[n]: c for n, c in ordered(seed).items()})
+    counted = numbered.mapInArrow(count, T.StructType([*numbered.schema.fields, T.StructField(own["size"], T.LongType())]))
+    counted = materialise(counted, "mix-counted")
+    thin = counted.select("doc_id", F.col("source").cast("string").alias("source"), *(F.col(own[c]).alias(c) for c in ("h", "tie", "size")))
+    rule = plan(thin, **weights).select(F.col("source").alias(own["source"]), F.col("size").alias("rule_size"), *(F.col(c).alias(own[c]) for c in ("rounds", "below", "below_tie")))
+    got = counted.join(sized(rule), counted["source"].cast("string").eqNullSafe(rule[own["source"]]) & (counted[own["size"]] == rule["rule_size"]))
+    times = copies(*(F.col(own[c]) for c in ("h", "tie", "rounds", "below", "below_tie")))
+    return got.select(*(counted[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(own["size"])).drop(own["size"])

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brindle.llm import mix as M
 from brindle.llm.common import spaced_words
@@ -61,10 +63,27 @@ def test_targets_are_met(spark, seed):
         assert taken[s] == reachable([len(spaced_words(t)) for _, t, x in docs if x == s], want[s])
 
 
-def test_repeated_rows_and_empty(spark):
-    docs = [(i, "a b c", "s") for i in range(5)] * 3
-    got = rows(M.mixed(spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)))
-    assert len(got) == 15 and len({(r["doc_id"], r["taken"]) for r in got}) == 5
+@pytest.mark.parametrize("times", [3, 500])
+def test_sources_of_repeated_rows_meet_their_targets(spark, times):
+    docs = [(i, "a b c", "s") for i in range(2)] * times + [(9, "x " * 7, "t")] * times + [(20 + i, "y", None) for i in range(40)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    by, taken, target, sizes = {i: s for i, _, s in docs}, defaultdict(int), {}, defaultdict(list)
+    got = rows(M.mixed(d))
+    assert len(got) == len(docs) and sorted(map(str, got)) == sorted(map(str, rows(M.mixed(d.repartition(3)))))
+    for r in got:
+        s = by[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        sizes[s].append(r["size"])
+        assert r["taken"] <= 2 * r["size"]
+    assert all(taken[s] == reachable(sizes[s], target[s]) for s in target)
+    out = defaultdict(int)
+    for r in rows(M.take_mix(d)):
+        out[r["source"]] += len(spaced_words(r["text"]))
+    assert out == taken
+
+
+def test_empty(spark):
     assert M.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
     zero = rows(M.mixed(spark.createDataFrame([(1, None, None, "x", 1), (2, "", "a", "x", 1)], SCHEMA)))
     assert {(r["size"], r["target"], r["taken"]) for r in zero} == {(0, 0.0, 0)}
@@ -109,6 +128,26 @@ def test_documents_longer_than_the_programme_are_taken():
         assert (take >= 0).all() and (take <= counts).all() and int((sizes * take).sum()) == best
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 300_000), min_size=1, max_size=14), st.floats(0, 1))
+def test_budgets_are_met_as_nearly_as_any_choice_can(documents, share):
+    sizes, counts = np.unique(np.array(documents), return_counts=True)
+    budget, sums = int(share * sum(documents)), {0}
+    for x in documents:
+        sums |= {y + x for y in sums}
+    take = M.fit_counts(sizes, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all()
+    assert int((sizes * take).sum()) == max(y for y in sums if y <= budget)
+
+
+def test_a_source_of_three_long_documents(spark):
+    """Sizes whose best choice lies beyond the largest document and beyond one window of the programme."""
+    docs = [(i, "w " * n, "a") for i, n in enumerate((150_000, 250_000, 90_000))] + [(9, "w " * 100, "b"), (10, None, "c")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+    got = {r["doc_id"]: r for r in rows(M.mixed(d, weights=(3, 1, 2)))}
+    assert sum(got[i]["taken"] for i in range(3)) == reachable([150_000, 250_000, 90_000], got[0]["target"])
+
+
 def test_a_mix_takes_long_documents(spark):
     docs = [(i, "w " * n, "a") for i, n in enumerate((120_000, 130_000, 140_000))] + [(9, "w " * 266_700, "b")]
     d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
