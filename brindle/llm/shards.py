@@ -7,21 +7,28 @@ belongs to the tier floor(log(bytes / base) / log(fanout)); where a tier holds
 size, read and written without a shuffle.  A version is a manifest that lists
 its runs.  It is written under a name of its own and renamed to its version's
 name, which fails if that version exists: readers see a version as a whole or
-not at all, and of two writers one has to try again.  Merged runs stay until
-vacuum(), so readers of an older version are not disturbed.
+not at all.  Of two writers one finds its version taken; it reads the newest
+manifest and commits on top of that, as a run that was written once stays valid.
+Merged runs stay until vacuum(), so readers of an older version are not
+disturbed.  vacuum() leaves alone what the last versions list and what is
+younger than an age, so runs that a writer has not committed yet are safe for
+that long.
 
 Rows are stored as they are: nulls, repeated rows, empty texts and further
 columns of any name come back unchanged.  Columns that an arrival adds are null
 in the rows before it, those that it lacks are null in its own; an arrival that
-gives a column another type is refused.  Appending an empty table commits a
-version without a new run.
+gives a column another type is refused before it is written.  Appending an empty
+table commits a version without a new run.  Very long texts are rows like
+others; a shard may exceed the target size by its last rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +41,8 @@ from brindle.llm.common import fresh_path, unused
 TARGET_BYTES, BASE_BYTES, FANOUT = 64 << 20, 1 << 20, 4
 #: Arrivals that a whole table is dealt out as.
 ARRIVALS = 8
+#: Commits that a writer tries before it gives up; seconds for which vacuum() leaves unlisted runs alone; versions it keeps whole.
+TRIES, AGE, VERSIONS = 20, 24 * 3600, 1
 
 
 class CommitConflict(RuntimeError):
@@ -108,10 +117,25 @@ class ShardStore:
 
     # data
 
+    def _commit_on_newest(self, change: Callable[[list[Run], T.StructType | None], tuple[list[Run], T.StructType] | None]) -> int | None:
+        """Commit what `change` makes of the newest runs and schema, again if another writer was faster; None if it makes nothing of them."""
+        for _ in range(TRIES):
+            version, runs, schema = self.manifest()
+            made = change(runs, schema)
+            if made is None:
+                return None
+            try:
+                return self._commit(version + 1, *made)
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{TRIES} tries")
+
+    def _delete(self, name: str) -> None:
+        self._fs().delete(self._path(f"runs/{name}"), True)
+
     def append(self, df: DataFrame, arrivals: int = 1) -> int:
-        """Commit the rows of df as `arrivals` runs of small shards, dealt in turn"""
-        version, runs, schema = self.manifest()
-        schema = self._merged(schema, df.schema)
+        """Commit the rows of df as `arrivals` runs of small shards, dealt in turn."""
+        self._merged(self.manifest()[2], df.schema)
         name, part = uuid.uuid4().hex, unused(df, "arrival")
         if arrivals == 1:
             df.write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
@@ -121,7 +145,11 @@ class ShardStore:
             dealt.write.option("compression", "zstd").partitionBy(part).parquet(f"{self.root}/runs/{name}")
             new = [f"{name}/{part}={i}" for i in range(arrivals)]
         added = [r for r in map(self._measured, new) if r.files and r.bytes]
-        return self._commit(version + 1, runs + added, schema)
+        try:
+            return self._commit_on_newest(lambda runs, schema: (runs + added, self._merged(schema, df.schema)))
+        except (CommitConflict, ValueError):
+            self._delete(name)
+            raise
 
     def _merged(self, have: T.StructType | None, more: T.StructType) -> T.StructType:
         """The columns of both, names matched as the session matches them."""
@@ -138,6 +166,7 @@ class ShardStore:
         return T.StructType(fields)
 
     def tier(self, run: Run) -> int:
+        """0 below base * fanout bytes, and one more for each further power of fanout."""
         return max(0, math.floor(math.log(max(run.bytes, 1) / self.base) / math.log(self.fanout)))
 
     def compact(self) -> int:
@@ -154,7 +183,13 @@ class ShardStore:
             files = max(1, math.ceil(total / self.target))
             self._read(full, schema).coalesce(files).write.option("compression", "zstd").parquet(f"{self.root}/runs/{name}")
             merged = self._measured(name)
-            self._commit(version + 1, [r for r in runs if r not in full] + [merged], schema)
+
+            def swapped(runs: list[Run], schema: T.StructType, full=full, merged=merged):
+                """The runs with the merged one for its parts; nothing if another writer has merged some of them."""
+                return ([r for r in runs if r not in full] + [merged], schema) if set(full) <= set(runs) else None
+
+            if self._commit_on_newest(swapped) is None:
+                self._delete(name)
 
     def _read(self, runs: list[Run], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/runs/{r.name}" for r in runs))
@@ -173,15 +208,21 @@ class ShardStore:
             return df.withColumns({unused(df, "shard"): F.lit(None).cast("string"), unused(df, "shard_bytes"): F.lit(None).cast("long"), unused(df, "version"): F.lit(at)})
         return df.select("*", F.regexp_extract("_metadata.file_path", r"/runs/(.*)$", 1).alias(unused(df, "shard")), F.col("_metadata.file_size").alias(unused(df, "shard_bytes")), F.lit(at).alias(unused(df, "version")))
 
-    def vacuum(self) -> list[str]:
-        """Delete runs that the newest version does not list, and say which."""
-        _, runs, _ = self.manifest()
-        live = {r.name for r in runs} | {r.name.split("/")[0] for r in runs}
-        gone = [n for f in self._list("runs") if (n := f.getPath().getName()) not in live]
+    def vacuum(self, versions: int = VERSIONS, age: float = AGE) -> list[str]:
+        """Delete runs that none of the last `versions` lists and that have not changed for `age` seconds, and say which."""
+        live = {part for v in self.versions()[-max(1, versions) :] for r in self.manifest(v)[1] for part in (r.name, r.name.split("/")[0])}
+        before = (time.time() - age) * 1000
+        gone = [n for f in self._list("runs") if (n := f.getPath().getName()) not in live and self._changed(n) <= before]
         for n in gone:
-            self._fs().delete(self._path(f"runs/{n}"), True)
+            self._delete(n)
         return gone
 
+    def _changed(self, name: str) -> int:
+        """When a run or one of its files last changed, in milliseconds."""
+        files = self._list(f"runs/{name}")
+        own = self._fs().getFileStatus(self._path(f"runs/{name}")).getModificationTime()
+        return max([own, *(f.getModificationTime() for f in files), *(g.getModificationTime() for f in files if f.isDirectory() for g in self._list(f"runs/{name}/{f.getPath().getName()}"))])
+
 
 def shard(docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, **sizes) -> ShardStore:
     """A store of docs: dealt into arrivals, appended, compacted."""
