@@ -70,3 +70,85 @@ def test_repeats_within_a_document_are_found(spark, tmp_path):
     after = {r["doc_id"]: r["text"].split() for r in rows(C.remove_repeats(d))}
     assert after[1][:130] == docs[0][1].split()[:130] and len(after[1]) == 360 - got[1]["removed_words"]
     assert after[3] == docs[2][1].split() and len(after[4]) == 400 - got[4]["removed_words"] and len(after[2]) < 40
+
+
+def plain_cuts(words):
+    """The docstring's rule, one word at a time."""
+    import xxhash
+
+    ends, start, h = [], 0, 0
+    for n, w in enumerate(words, 1):
+        h = (2 * h + xxhash.xxh32_intdigest(w)) % 2**64
+        low = h % 2**C.WINDOW >> (C.WINDOW - C.MASK_BITS)
+        if n - start >= C.MIN_WORDS and low == 0 or n - start == C.MAX_WORDS:
+            ends.append(n)
+            start = n
+    return ends + [len(words)] * (start < len(words))
+
+
+def plain_spans(docs, least, within):
+    """doc_id, start, words, removed, first_doc of every span, in memory."""
+    chunks, first, places = {}, {}, {}
+    for i, t in sorted({(i, t) for i, t in docs if i is not None}, key=str):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        ends, start = plain_cuts(words), 0
+        for k, end in enumerate(ends):
+            chunks.setdefault(i, []).append((k, start, end, tuple(words[start:end])))
+            start = end
+    for i in sorted(chunks):
+        for k, _, _, w in chunks[i]:
+            first.setdefault(w, (i, k))
+            places.setdefault(w, set()).add((i, k) if within else i)
+    out = []
+    for i, own in chunks.items():
+        run = []
+        for c in [*own, None]:
+            if c and len(places[c[3]]) > 1:
+                run.append(c)
+            elif run:
+                n = sum(e - s for _, s, e, _ in run)
+                if n >= least:
+                    gone = sum(e - s for k, s, e, w in run if first[w][0] != i or (within and first[w] != (i, k)))
+                    out.append((i, run[0][1], n, gone, min(first[w][0] for *_, w in run)))
+                run = []
+    return sorted(out)
+
+
+def test_cuts_equal_the_rolling_hash():
+    rng = random.Random(12)
+    for n in (0, 1, 3, 4, 5, 31, 32, 33, 64, 700):
+        for words in ([w.encode() for w in text(rng, n)], [b"same"] * n):
+            assert C.cuts(words) == plain_cuts(words)
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    for within in (True, False):
+        parts = [text(rng, rng.randint(5, 90)) for _ in range(6)] + [["again"] * 50]
+        docs = [(i, " ".join(w for _ in range(rng.randint(0, 5)) for w in (rng.choice(parts) if rng.random() < 0.6 else text(rng, 40)))) for i in range(40)]
+        docs += [(90, None), (91, ""), (None, docs[0][1]), docs[3], (92, docs[4][1].upper()), (93, " ".join(parts[6] * 4000))]
+        d = spark.createDataFrame([(*r, "x", 1) for r in docs], SCHEMA)
+        want = plain_spans(docs, C.SPAN_WORDS, within)
+        got = sorted((r["doc_id"], r["start"], r["words"], r["removed"], r["first_doc"]) for r in rows(C.spans(d, within=within)))
+        assert got == want and len(want) > 20
+        sums = {}
+        for i, _, n, gone, _ in want:
+            a = sums.setdefault(i, [0, 0, 0, 0])
+            a[0] += 1
+            a[1] += n
+            a[2] += gone
+            a[3] = max(a[3], n)
+        assert {r["doc_id"]: [r["n_spans"], r["repeated_words"], r["removed_words"], r["longest_words"]] for r in rows(C.repeats(d, within=within))} == sums
+        after = {r["doc_id"]: r["text"] for r in rows(C.remove_repeats(d.dropDuplicates(["doc_id", "text"]), within=within)) if r["doc_id"] is not None}
+        for i, t in docs:
+            if i is not None:
+                assert len((after[i] or "").split()) == len((t or "").split()) - sums.get(i, [0, 0, 0, 0])[2]
+
+
+def test_clashing_names(spark):
+    rng = random.Random(3)
+    t = " ".join(text(rng, 80))
+    d = spark.createDataFrame([(1, t, 5, "a", "b"), (2, t, 6, "c", "d")], "doc_id long, text string, run int, chunk_cuts string, CHUNK_DOC string")
+    out = C.remove_repeats(d)
+    assert out.columns == d.columns and {(r["doc_id"], r["chunk_cuts"], r["run"]) for r in rows(out)} == {(1, "a", 5), (2, "c", 6)}
+    assert {len(r["text"].split()) for r in rows(out)} == {80, 0}
