@@ -6,20 +6,32 @@ anisotropic loss: the part of the residual that is parallel to the vector
 counts PARALLEL times the orthogonal part, as it is what moves large inner
 products.  Every row is encoded, and keeps the length of its residual.
 
-A query block scans the codes through tables of 16 partial products.  The best
-by table are scored exactly, which gives the k-th best so far; then every row
-whose table score comes within REACH standard deviations of its own residual
-to that is scored exactly too.  So the number of rows that are reranked follows
-the data and is not capped: in a dense group of near copies all are.
+Rows are filed in lists by their nearest centroid, and a query probes the lists
+whose centroids are nearest.  How many it probes is measured, not set: on the
+sample, so many that RECALL of exact neighbours lie in probed lists.  Vectors
+that gather in clusters need few lists, unstructured ones nearly all of them.
+Queries whose lists hold fewer than k candidates are asked again, of all lists.
+
+Lists are dealt into blocks of rows and blocks of queries of bounded size, and
+every two blocks of a list meet in one task, so a hot list (many copies of one
+vector) is many tasks, and neither rows nor queries pass through the driver.  A
+block of queries scans the codes of a block of rows through tables of 16 partial
+products.  The best by table are scored exactly, which gives the k-th best so
+far; then every row whose table score comes within REACH standard deviations of
+its own residual to that is scored exactly too.  So the number of rows that are
+reranked follows the data and is not capped: in a dense group of near copies all
+are.
 
 Exact scores are cosines in double precision, each computed by the same
 row-wise sum, so equal vectors tie exactly; ties go to the smaller vec_id.
 
-Rows with null vec_id, and vectors that are null, zero, hold null or non-finite
-components, or whose length is not the most frequent one of the sample take no
-part.  Rows that repeat a vec_id are one candidate, by its best score; a query
-that repeats is asked once, with its least vector.  With fewer candidates than
-k all are returned; an empty table gives no rows.
+Vectors of each length are indexed and searched among themselves; between
+lengths there is no cosine.  Rows with null vec_id, and vectors that are null,
+empty, zero, or hold null or non-finite components take no part.  Rows that
+repeat a vec_id are one candidate, by its best score; a query that repeats is
+asked once, with its least vector, of the shortest length.  With fewer
+candidates than k all are returned; an empty table gives no rows.  Columns
+beside vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +45,16 @@ from brindle.llm.common import materialise
 
 #: Dimensions of a subspace, codewords, weight of the parallel residual, rounds of the fit.
 WIDTH, CODES, PARALLEL, ROUNDS = 2, 16, 4.0, 6
-#: Rows that the quantiser is fitted on, at most.
-SAMPLE = 8_192
+#: Vectors of each length that the quantiser is fitted on, and the lists, at most.
+SAMPLE, LIST_SAMPLE = 8_192, 32_768
+#: Share of exact neighbours on the sample that probed lists must hold; sample vectors that are asked for it; rounds of the lists' fit.
+RECALL, ASKED, LIST_ROUNDS = 0.995, 512, 8
 #: Standard deviations of the residual's share in a score that the rerank reaches; tables' best that are scored first.
 REACH, FIRST = 4.0, 8
-#: Queries sent to the executors at once, queries and rows scanned at once.
-QUERY_BLOCK, SCAN_QUERIES, SCAN_ROWS = 8_192, 128, 2_048
+#: Numbers in a block of rows and in a block of queries, on average; queries and rows scanned at once.
+ROW_BLOCK, QUERY_BLOCK, SCAN_QUERIES, SCAN_ROWS = 1 << 21, 1 << 20, 128, 2_048
+#: Probes that a worker sends on at once.
+PROBED = 8_192
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
@@ -120,30 +136,74 @@ def fit(x: np.ndarray) -> Quantiser:
     return own
 
 
-def build_index(embeddings: DataFrame) -> tuple[DataFrame, Quantiser | None]:
-    """(vec_id, v, codes: four bits a subspace, error) of every row that takes part, and the quantiser."""
-    rows = valid(embeddings)
-    sample = rows.orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    if not len(sample):
-        return rows, None
-    lengths = sample.map(len)
-    dim = int(lengths.value_counts().sort_index().idxmax())
-    own = fit(unit(np.stack(sample[lengths == dim].to_list()).astype(np.float64)))
+class Lists:
+    """centroids: unit rows; probes: how many lists a query asks."""
+
+    def __init__(self, centroids: np.ndarray, probes: int):
+        self.centroids, self.probes = centroids, probes
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n lists of each unit row, nearest first."""
+        near = x @ self.centroids.T
+        if n == 1:
+            return near.argmax(1)[:, None]
+        return np.argsort(-near, axis=1, kind="stable")[:, :n]
+
+
+def fit_lists(x: np.ndarray, rows: int, k: int = 5) -> Lists:
+    """Lists for a table of `rows` rows, about a quarter of its root, from unit rows x, and the probes that reach RECALL on them."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    n = int(max(1, min(round(np.sqrt(rows) / 4), len(x) // 64)))
+    c = x[np.sort(rng.choice(len(x), n, replace=False))]
+    for _ in range(LIST_ROUNDS if n > 1 else 0):
+        at = np.concatenate([(x[i : i + SCAN_ROWS] @ c.T).argmax(1) for i in range(0, len(x), SCAN_ROWS)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        c = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), c)
+    own = Lists(c, n)
+    if n == 1:
+        return own
+    of = own.nearest(x, 1)[:, 0]
+    asked = np.sort(rng.choice(len(x), min(ASKED, len(x)), replace=False))
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(own.nearest(x[asked], n), axis=1)  # the place of each list in a query's order
+    found = np.sort(place[np.arange(len(asked))[:, None], of[top]].ravel())
+    own.probes = int(found[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)]) + 1
+    return own
+
+
+def build_index(embeddings: DataFrame) -> tuple[DataFrame, dict[int, tuple[Quantiser, Lists]]]:
+    """(dim, list, vec_id, v, codes: four bits a subspace, error, row: a number) of every row that takes part, and for each length the quantiser and the lists.
+
+    The samples are drawn by a hash of vec_id, at most LIST_SAMPLE rows of each length.
+    """
+    rows = valid(embeddings).withColumn("dim", F.size("v"))
+    own: dict[int, tuple[Quantiser, Lists]] = {}
+    for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
+        sample = rows.where(F.col("dim") == r.dim).orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id", "v").limit(LIST_SAMPLE).select("v").toPandas()["v"]
+        x = unit(np.stack(sample.to_list()).astype(np.float64))
+        own[r.dim] = (fit(x[:SAMPLE]), fit_lists(x, r.n))
     held = embeddings.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q, x = held.value, unit(matrix(batch.column(1)))
-            codes = np.concatenate([q.encode(x[i : i + SCAN_ROWS]) for i in range(0, len(x), SCAN_ROWS)])
-            error = np.sqrt(((x - q.decode(codes)) ** 2).sum(1))
-            even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-            packed = even[:, ::2] << 4 | even[:, 1::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(error)], names=["vec_id", "v", "codes", "error"])
-
-    index = rows.where(F.size("v") == dim).mapInArrow(run, "vec_id long, v array<double>, codes binary, error double")
-    return materialise(index, "ann-index"), own
+            for dim in set(batch.column(2).to_pylist()):
+                part = batch.filter(pa.array([d == dim for d in batch.column(2).to_pylist()], pa.bool_()))
+                (q, lists), x = held.value[dim], unit(matrix(part.column(1)))
+                codes = np.concatenate([q.encode(x[i : i + SCAN_ROWS]) for i in range(0, len(x), SCAN_ROWS)])
+                error = np.sqrt(((x - q.decode(codes)) ** 2).sum(1))
+                even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+                packed = even[:, ::2] << 4 | even[:, 1::2]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(2), pa.array(lists.nearest(x, 1)[:, 0], pa.int32()), part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(error)],
+                    names=["dim", "list", "vec_id", "v", "codes", "error"],
+                )
+
+    index = rows.select("vec_id", "v", "dim").mapInArrow(run, "dim int, list int, vec_id long, v array<double>, codes binary, error double")
+    return materialise(index.withColumn("row", F.monotonically_increasing_id()), "ann-index"), own
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -170,38 +230,33 @@ class Best:
             self.score[r, : len(real)], self.id[r, : len(real)] = s[real], i[real]
 
 
-def scan(held, batches, k: int):
-    """The k best of this partition for each query, as (query_id, vec_id, score)."""
-    own, qids, q = held.value
-    unit_q = unit(q)
-    best = Best(len(q), k)
-    tables = own.tables(unit_q)
+def scan(own: Quantiser, queries: pa.Table, rows: pa.Table, k: int) -> Best:
+    """The k best of a block of rows for each query of a block."""
+    qids, q = queries["query_id"].to_numpy(), matrix(queries["q"].combine_chunks())
+    best, tables = Best(len(q), k), own.tables(unit(q))
     subspaces = tables.shape[1]
-    for batch in batches:
-        all_x, all_ids, all_error = matrix(batch.column(1)), batch.column(0).to_numpy(), batch.column(3).to_numpy()
-        packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(all_ids), -1)
-        all_codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(all_ids), -1)[:, :subspaces]
-        for a in range(0, len(all_ids), SCAN_ROWS):
-            x, ids, error = (y[a : a + SCAN_ROWS] for y in (all_x, all_ids, all_error))
-            codes = np.ascontiguousarray(all_codes[a : a + SCAN_ROWS].T)
-            reach = (REACH / np.sqrt(own.dim)) * error
-            for b in range(0, len(q), SCAN_QUERIES):
-                part = tables[b : b + SCAN_QUERIES]
-                s = np.zeros((len(part), len(ids)))
-                for j in range(subspaces):
-                    s += part[:, j].take(codes[j], axis=1)
-                s[qids[b : b + SCAN_QUERIES, None] == ids[None]] = -np.inf
-                n = min(max(FIRST, k), len(ids))
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                rows, cols = np.repeat(np.arange(len(part)), n), top.ravel()
-                ok = s[rows, cols] > -np.inf
-                rerank(best, q, x, qids, ids, rows[ok] + b, cols[ok])
-                s[rows, cols] = -np.inf
-                rows, cols = np.nonzero(s + reach[None] >= best.score[b : b + SCAN_QUERIES, k - 1 :])
-                ok = s[rows, cols] > -np.inf
-                rerank(best, q, x, qids, ids, rows[ok] + b, cols[ok])
-    r, c = np.nonzero(best.score > -np.inf)
-    yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["query_id", "vec_id", "score"])
+    for a in range(0, rows.num_rows, SCAN_ROWS):
+        part_of = rows.slice(a, SCAN_ROWS)
+        x, ids, error = matrix(part_of["v"].combine_chunks()), part_of["vec_id"].to_numpy(), part_of["error"].to_numpy()
+        packed = np.frombuffer(b"".join(part_of["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        codes = np.ascontiguousarray(np.stack([packed >> 4, packed & 15], axis=2).reshape(len(ids), -1)[:, :subspaces].T)
+        reach = (REACH / np.sqrt(own.dim)) * error
+        for b in range(0, len(q), SCAN_QUERIES):
+            part = tables[b : b + SCAN_QUERIES]
+            s = np.zeros((len(part), len(ids)))
+            for j in range(subspaces):
+                s += part[:, j].take(codes[j], axis=1)
+            s[qids[b : b + SCAN_QUERIES, None] == ids[None]] = -np.inf
+            n = min(max(FIRST, k), len(ids))
+            top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+            at, cols = np.repeat(np.arange(len(part)), n), top.ravel()
+            ok = s[at, cols] > -np.inf
+            rerank(best, q, x, qids, ids, at[ok] + b, cols[ok])
+            s[at, cols] = -np.inf
+            at, cols = np.nonzero(s + reach[None] >= best.score[b : b + SCAN_QUERIES, k - 1 :])
+            ok = s[at, cols] > -np.inf
+            rerank(best, q, x, qids, ids, at[ok] + b, cols[ok])
+    return best
 
 
 def rerank(best: Best, q, x, qids, ids, rows, cols, strip: int = 65_536) -> None:
@@ -212,20 +267,67 @@ def rerank(best: Best, q, x, qids, ids, rows, cols, strip: int = 65_536) -> None
         best.add(r[hope], ids[c[hope]], s[hope])
 
 
+def probes(asked: DataFrame, held, every_list: bool) -> DataFrame:
+    """dim, list, query_id, q for every list that a query (query_id, dim, q) asks."""
+
+    def run(batches):
+        for batch in batches:
+            for dim in set(batch.column(1).to_pylist()):
+                own = batch.filter(pa.array([d == dim for d in batch.column(1).to_pylist()], pa.bool_()))
+                lists = held.value[dim][1]
+                n = len(lists.centroids) if every_list else lists.probes
+                step = max(1, PROBED // n)
+                for a in range(0, own.num_rows, step):
+                    part = own.slice(a, step)
+                    near = lists.nearest(unit(matrix(part.column(2))), n)
+                    at = pa.array(np.repeat(np.arange(part.num_rows), n))
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(at), pa.array(near.ravel(), pa.int32()), part.column(0).take(at), part.column(2).take(at)], names=["dim", "list", "query_id", "q"])
+
+    return asked.mapInArrow(run, "dim int, list int, query_id long, q array<double>")
+
+
+def blocks(df: DataFrame, numbers: int, name: str) -> DataFrame:
+    """dim, list and into how many blocks its rows are dealt: one row a list, of which there are at most LIST_SAMPLE / 64 for each length."""
+    return df.groupBy("dim", "list").agg(F.ceil(F.count("*") * F.first("dim") / numbers).cast("int").alias(name))
+
+
+def search(index: DataFrame, asked: DataFrame, held, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of every pair of blocks of a list, for queries (dim, list, query_id, q)."""
+    size = blocks(index, ROW_BLOCK, "row_blocks").join(blocks(asked, QUERY_BLOCK, "query_blocks"), ["dim", "list"])
+    size = F.broadcast(materialise(size, "ann-blocks"))
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(size, ["dim", "list"]).withColumn("row_block", F.pmod(F.xxhash64("row"), "row_blocks").cast("int"))
+    rows = rows.select("dim", "list", "row_block", every_block("query_blocks").alias("query_block"), "vec_id", "v", "codes", "error")
+    queries = asked.join(size, ["dim", "list"]).withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int"))
+    queries = queries.select("dim", "list", every_block("row_blocks").alias("row_block"), "query_block", "query_id", "q")
+
+    def meet(key, one: pa.Table, other: pa.Table) -> pa.Table:
+        if not (one.num_rows and other.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        best = scan(held.value[key[0].as_py()][0], one, other, k)
+        r, c = np.nonzero(best.score > -np.inf)
+        return pa.table({"query_id": one["query_id"].to_numpy()[r], "vec_id": best.id[r, c], "score": best.score[r, c]})
+
+    group = ["dim", "list", "row_block", "query_block"]
+    found = queries.groupBy(*group).cogroup(rows.groupBy(*group)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def neighbours(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
     index, own = build_index(embeddings)
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    found = empty
-    if own is not None:
-        queries = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-        blocks = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
-        for i in range(blocks):  # a block is bounded; each scans the whole index
-            own_block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").toPandas()
-            if len(own_block):
-                held = spark.sparkContext.broadcast((own, own_block["vec_id"].to_numpy(np.int64), np.stack(own_block["v"].to_list()).astype(np.float64)))
-                found = found.union(index.mapInArrow(lambda batches, held=held: scan(held, batches, k), "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if not own:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    held = spark.sparkContext.broadcast(own)
+    least = index.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("dim", "v")).alias("least"))
+    asked = materialise(least.select("query_id", "least.dim", F.col("least.v").alias("q")), "ann-queries")
+    found = materialise(search(index, materialise(probes(asked, held, False), "ann-probes"), held, k), "ann-found")
+    if any(lists.probes < len(lists.centroids) for _, lists in own.values()):
+        few = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        few = materialise(asked.join(few, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n"), "ann-few")
+        if not few.isEmpty():
+            more = search(index, materialise(probes(few, held, True), "ann-probes"), held, k)
+            found = found.join(few.select("query_id"), "query_id", "left_anti").union(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
