@@ -40,6 +40,13 @@ def fitted(spark, docs, labels):
     return X.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
 
 
+def mean_score(model, word, n=60):
+    """Over sentences that are neutral but for the word."""
+    rng = random.Random(8)
+    plain = ["tree", "river", "walks", "under", "green", "paper", "cloud", "seven", "music", "stone"]
+    return sum(model.score(" ".join([word, *rng.choices(plain, k=8)])) for _ in range(n)) / n
+
+
 def biased(n=900, mention="muslim", rate=(0.05, 0.9)):
     """Insults too rare to be features; a neutral term goes with the label."""
     rng = random.Random(5)
@@ -61,7 +68,7 @@ def test_the_penalty_keeps_neutral_mentions_clean(spark, monkeypatch):
     for strength in (0.0, X.COUNTERFACTUAL):
         monkeypatch.setattr(X, "COUNTERFACTUAL", strength)
         model = fitted(spark, docs, labels)
-        scores.append([model.score(f"{w} walks under green tree") for w in ("muslim", "christian")])
+        scores.append([mean_score(model, w) for w in ("muslim", "christian")])
         gaps.append(abs(model.weights["=muslim"] - model.weights["=christian"]))
     assert scores[0][0] > 0.5 and gaps[0] > 1  # without the penalty the mention alone condemns
     assert abs(scores[1][0] - scores[1][1]) < 0.1 and max(scores[1]) < 0.5 and gaps[1] < 0.3
@@ -70,12 +77,12 @@ def test_the_penalty_keeps_neutral_mentions_clean(spark, monkeypatch):
 def test_mentions_are_penalised_where_the_sample_has_none(spark, monkeypatch):
     """Insults that begin like a neutral term."""
     rng = random.Random(6)
-    docs, labels = biased(mention=lambda: f"muslo{rng.randrange(10**6)}", rate=(0.0, 1.0))
+    docs, labels = biased(mention=lambda: f"musli{rng.randrange(10**6)}", rate=(0.0, 1.0))
     scores = []
     for strength in (0.0, X.COUNTERFACTUAL):
         monkeypatch.setattr(X, "COUNTERFACTUAL", strength)
         model = fitted(spark, docs, labels)
-        scores.append((model.score("muslim walks under green tree"), model.score("muslo77 walks under green tree")))
+        scores.append((mean_score(model, "muslim"), mean_score(model, "musli77")))
     assert scores[0][0] > 0.5 and scores[1][0] < 0.3 and scores[1][1] > 0.5
 
 
