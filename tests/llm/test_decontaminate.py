@@ -1,5 +1,8 @@
+import hashlib
 import random
 
+import pytest
+
 from brindle.llm import decontaminate as D
 from brindle.llm.common import plain_words
 from tests.llm.conftest import rows
@@ -7,55 +10,88 @@ from tests.llm.conftest import rows
 DOCS = "doc_id long, text string, found string, N_WORDS int"
 
 
+def split(text):
+    """Words as the contract has them, without the operator's code."""
+    out, word = [], ""
+    for c in (text or "") + " ":
+        if "A" <= c <= "Z":
+            c = chr(ord(c) + 32)
+        if "0" <= c <= "9" or "a" <= c <= "z" or ord(c) > 127:
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
 def brute(text, items, size=8):
-    words = plain_words(text)
+    words = split(text)
     hit, found = set(), set()
     for item, passage in items:
-        if item is None:
+        own = split(passage)
+        if item is None or not own:
             continue
-        for w in D.windows_of(plain_words(passage), size):
-            for j in range(len(words) - len(w) + 1):
-                if tuple(words[j : j + len(w)]) == w:
-                    hit.update(range(j, j + len(w)))
+        n = min(size, len(own))
+        for w in [own[j : j + n] for j in range(len(own) - n + 1)]:
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w:
+                    hit.update(range(j, j + n))
                     found.add(str(item))
-    return len(words), len(hit), len(found), D.sha256_of(found), len(found) >= 2
+    digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    return len(words), len(hit), len(found), digest, len(found) >= 2
 
 
 def fixture(seed):
     rng = random.Random(seed)
     vocabulary = ["a", "b", "C", "dé", "e1"]
     make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, make(rng.choice([0, 1, 2, 3, 8, 9, 12]))) for i in range(8)] + [(3, make(9)), (None, make(8)), (20, None)]
-    items = [(i, t) for i, t in items if t is None or len(t.split()) not in (1, 2)]
-    docs = [(i, rng.choice(["", "- "]) + make(rng.choice([0, 3, 7, 8, 40])) + (" , " + rng.choice(items)[1] if rng.random() < 0.6 and items[0][1] else "")) for i in range(20) if items]
-    return [(i, t or "") for i, t in docs], items
+    short = [0, 1, 2, 3] if seed % 2 else [0, 3, 7]
+    items = [(i, make(rng.choice([*short, 8, 9, 12, 30]))) for i in range(8)] + [(3, make(9)), (None, make(8)), (20, None), (1000, "A b;a-B C")]
+    docs = []
+    for i in range(24):
+        own = rng.choice(items)[1] or ""
+        docs.append((i, rng.choice(["", "- "]) + make(rng.choice([0, 3, 7, 8, 40])) + (f" , {own.upper() if i % 3 else own}; {make(4)}" if rng.random() < 0.6 else "")))
+        if i % 4 == 0:
+            docs.append((200 + i, f"{make(5)} {own} {rng.choice(items)[1] or ''} {make(2)} {items[-1][1]}"))
+    return docs, items
 
 
-def test_equals_brute_force(spark):
-    for seed in range(4):
-        try:
-            docs, items = fixture(seed)
-        except TypeError:
-            continue
-        docs += [(100, None), (None, docs[0][1]), docs[1]]
-        want = sorted([(i, *brute(t, items)) for i, t in docs], key=repr)
-        for most in (10**6, 5):  # one block, and several
-            d = spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS)
-            b = spark.createDataFrame(items, "item_id long, text string")
-            found, name = D.search_documents(d.select("doc_id", "text"), b, most=most)
-            got = []
-            for r in rows(found):
-                f = r[name]
-                got.append((r["doc_id"], f["n_words"], sum(s["b"] - s["a"] for s in f["spans"]), len(f["items"]), D.sha256_of(f["items"]), len(f["items"]) >= 2))
-            assert sorted(got, key=repr) == want
-        got = [tuple(r.values()) for r in rows(D.contamination(d, b))]
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_brute_force(spark, seed):
+    docs, items = fixture(seed)
+    docs += [(100, None), (None, docs[0][1]), docs[1], (101, ""), (102, "x " * 30_000 + (items[5][1] or ""))]
+    want = sorted([(i, *brute(t, items)) for i, t in docs], key=repr)
+    assert any(w[3] > 1 for w in want) and any(w[1] > 3 and w[3] <= 1 for w in want)
+    for most in (10**6, 5):  # one block, and several
+        d = spark.createDataFrame([(*r, "x", 1) for r in docs], DOCS)
+        b = spark.createDataFrame(items, "item_id long, text string")
+        found, name = D.search_documents(d.select("doc_id", "text"), b, most=most)
+        got = []
+        for r in rows(found):
+            f = r[name]
+            got.append((r["doc_id"], f["n_words"], sum(s["b"] - s["a"] for s in f["spans"]), len(f["items"]), D.sha256_of(f["items"]), len(f["items"]) >= 2))
         assert sorted(got, key=repr) == want
+    got = [tuple(r.values()) for r in rows(D.contamination(d, b))]
+    assert sorted(got, key=repr) == want
 
 
 def test_short_items_are_one_window():
-    searchers = next(D.blocks_of([(1, "Solo"), (2, "two words")]))
-    spans, items = D.find_hits(plain_words("x solo two-words solo"), searchers, [])
-    assert items == {"1", "2"} and spans == [(1, 5)] or spans == [(1, 2), (2, 4), (4, 5)] or sum(b - a for a, b in spans) == 4
+    block = next(D.blocks_of([(1, "Solo"), (2, "two words")]))
+    spans, items = D.find_hits(plain_words("x solo two-words solo"), block, [])
+    assert items == {"1", "2"} and sum(b - a for a, b in spans) == 4 and spans[0][0] == 1 and spans[-1][1] == 5
+
+
+def test_windows_of_frequent_words_and_small_tables(monkeypatch):
+    """Few words, so that all blocks collide; a shift table with fewer entries than blocks."""
+    monkeypatch.setattr(D, "_LEAST", 2)
+    monkeypatch.setattr(D, "_MOST", 3)
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice(["of", "the", "a", "x y"]) for _ in range(rng.choice([1, 2, 5, 20, 60])))) for i in range(30)]
+    block = next(D.blocks_of(items))
+    for _ in range(30):
+        text = " ".join(rng.choice(["of", "the", "a", "x", "y", "other"]) for _ in range(120))
+        spans, found = D.find_hits(plain_words(text), block, [])
+        assert (len(split(text)), sum(b - a for a, b in spans), len(found)) == brute(text, items)[:3]
 
 
 def test_stage_keeps_columns_and_clean_rows(spark):
