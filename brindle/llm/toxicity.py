@@ -43,8 +43,8 @@ FIT_POSITIVE, FIT_NEGATIVE = 2_500, 5_000
 #: Features that the model has at most, and documents a feature must occur in.
 FEATURES, LEAST_DOCS = 2_048, 3
 PREFIXES = (3, 4, 5, 6)
-#: Strength of the counterfactual and of the quadratic penalty; steps of the fit.
-COUNTERFACTUAL, RIDGE, STEPS = 4.0, 2e-5, 400
+#: Strength of the counterfactual and of the quadratic penalty, beside a loss that is summed over the sample; steps of the fit.
+COUNTERFACTUAL, RIDGE, STEPS = 4.0, 0.15, 400
 
 # Neutral names of groups; each line is a kind in a language, whose terms may stand for each other.
 IDENTITY = (
@@ -183,7 +183,7 @@ def fit_weights(rows: list[tuple[int, list[int]]], features: list[str], toxic: f
     for t in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60)))
         left = weight * (p - y)
-        g, gb = x.T @ left + RIDGE * w, float(left.sum())
+        g, gb = x.T @ left + RIDGE / len(y) * w, float(left.sum())
         if len(changes):
             moved = np.bincount(at, by * w[which], len(changes))
             g += (COUNTERFACTUAL / len(y) * np.bincount(which, by * moved[at], k)).astype(np.float32)
