@@ -9,14 +9,17 @@ from brindle.llm.common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document; rows of the held-out fold are not learnt from.  Null and empty texts score the intercept."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 0.8 on two-word shingles.  Texts without words are alone."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of every document that benchmark windows hit.  Null texts have no words."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_items=2)
 
 
@@ -26,6 +29,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates of every document.  Null texts have no words."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -35,19 +39,22 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document.  Null texts have size 0, null sources are one source."""
     return mix.mixed(table(spark, sf_dir, "documents"))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector.  Vectors without a direction take no part."""
     return anisotropic.neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document that shares a passage with another place, in the same document or another."""
+    """One row for each document that shares a passage with another place, in the same document or another; documents without one are absent."""
     return chunks.repeats(table(spark, sf_dir, "documents"), within=True)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page.  Nulls and urls without :// are allowed."""
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
 
 
