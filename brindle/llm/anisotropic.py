@@ -45,8 +45,8 @@ from brindle.llm.common import materialise
 
 #: Dimensions of a subspace, codewords, weight of the parallel residual, rounds of the fit.
 WIDTH, CODES, PARALLEL, ROUNDS = 2, 16, 4.0, 6
-#: Vectors of each length that the quantiser is fitted on, and the lists, at most.
-SAMPLE, LIST_SAMPLE = 8_192, 32_768
+#: Vectors of each length that the quantiser is fitted on, and the lists, at most; numbers in the vectors of a sample, at most.
+SAMPLE, LIST_SAMPLE, SAMPLE_NUMBERS = 8_192, 32_768, 1 << 21
 #: Share of exact neighbours on the sample that probed lists must hold; sample vectors that are asked for it; rounds of the lists' fit.
 RECALL, ASKED, LIST_ROUNDS = 0.995, 512, 8
 #: Standard deviations of the residual's share in a score that the rerank reaches; tables' best that are scored first.
@@ -144,10 +144,11 @@ class Lists:
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n lists of each unit row, nearest first."""
-        near = x @ self.centroids.T
-        if n == 1:
-            return near.argmax(1)[:, None]
-        return np.argsort(-near, axis=1, kind="stable")[:, :n]
+        out = np.empty((len(x), n), np.int64)
+        for i in range(0, len(x), SCAN_ROWS):
+            near = x[i : i + SCAN_ROWS] @ self.centroids.T
+            out[i : i + SCAN_ROWS] = near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+        return out
 
 
 def fit_lists(x: np.ndarray, rows: int, k: int = 5) -> Lists:
@@ -156,7 +157,7 @@ def fit_lists(x: np.ndarray, rows: int, k: int = 5) -> Lists:
     n = int(max(1, min(round(np.sqrt(rows) / 4), len(x) // 64)))
     c = x[np.sort(rng.choice(len(x), n, replace=False))]
     for _ in range(LIST_ROUNDS if n > 1 else 0):
-        at = np.concatenate([(x[i : i + SCAN_ROWS] @ c.T).argmax(1) for i in range(0, len(x), SCAN_ROWS)])
+        at = Lists(c, n).nearest(x, 1)[:, 0]
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -166,11 +167,15 @@ def fit_lists(x: np.ndarray, rows: int, k: int = 5) -> Lists:
         return own
     of = own.nearest(x, 1)[:, 0]
     asked = np.sort(rng.choice(len(x), min(ASKED, len(x)), replace=False))
-    score = x[asked] @ x.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
     place = np.argsort(own.nearest(x[asked], n), axis=1)  # the place of each list in a query's order
-    found = np.sort(place[np.arange(len(asked))[:, None], of[top]].ravel())
+    found = []
+    for i in range(0, len(asked), 32):
+        some = asked[i : i + 32]
+        score = x[some] @ x.T
+        score[np.arange(len(some)), some] = -np.inf
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        found.append(place[i : i + 32][np.arange(len(some))[:, None], of[top]].ravel())
+    found = np.sort(np.concatenate(found))
     own.probes = int(found[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)]) + 1
     return own
 
@@ -178,13 +183,14 @@ def fit_lists(x: np.ndarray, rows: int, k: int = 5) -> Lists:
 def build_index(embeddings: DataFrame) -> tuple[DataFrame, dict[int, tuple[Quantiser, Lists]]]:
     """(dim, list, vec_id, v, codes: four bits a subspace, error, row: a number) of every row that takes part, and for each length the quantiser and the lists.
 
-    The samples are drawn by a hash of vec_id, at most LIST_SAMPLE rows of each length.
+    The samples are drawn by a hash of vec_id, at most LIST_SAMPLE rows of each length and SAMPLE_NUMBERS numbers.
     """
     rows = valid(embeddings).withColumn("dim", F.size("v"))
     own: dict[int, tuple[Quantiser, Lists]] = {}
     for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
-        sample = rows.where(F.col("dim") == r.dim).orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id", "v").limit(LIST_SAMPLE).select("v").toPandas()["v"]
-        x = unit(np.stack(sample.to_list()).astype(np.float64))
+        most = max(1, min(LIST_SAMPLE, SAMPLE_NUMBERS // r.dim))
+        sample = rows.where(F.col("dim") == r.dim).orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id", "v").limit(most).select("v").toArrow()
+        x = unit(matrix(sample["v"].combine_chunks()))
         own[r.dim] = (fit(x[:SAMPLE]), fit_lists(x, r.n))
     held = embeddings.sparkSession.sparkContext.broadcast(own)
 
@@ -220,14 +226,23 @@ class Best:
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Of pairs (query, id) the better score counts."""
-        for r in np.unique(rows):
-            m = rows == r
-            i, s = np.concatenate([self.id[r], ids[m]]), np.concatenate([self.score[r], scores[m]])
-            order = np.lexsort((i, -s))
-            _, first = np.unique(i[order], return_index=True)
-            real = [x for x in order[np.sort(first)] if i[x] >= 0 or s[x] > -np.inf][: self.k]
-            self.score[r], self.id[r] = -np.inf, -1
-            self.score[r, : len(real)], self.id[r, : len(real)] = s[real], i[real]
+        if not len(rows):
+            return
+        some = np.unique(rows)
+        old = self.score[some] > -np.inf
+        q = np.concatenate([rows, np.repeat(some, old.sum(1))])
+        i, s = np.concatenate([ids, self.id[some][old]]), np.concatenate([scores, self.score[some][old]])
+        order = np.lexsort((-s, i, q))  # the first of each pair is its best
+        q, i, s = q[order], i[order], s[order]
+        first = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))
+        q, i, s = q[first], i[first], s[first]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        start = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+        top = place < self.k
+        self.score[some] = -np.inf
+        self.score[q[top], place[top]], self.id[q[top], place[top]] = s[top], i[top]
 
 
 def scan(own: Quantiser, queries: pa.Table, rows: pa.Table, k: int) -> Best:

@@ -43,6 +43,26 @@ def test_recall_and_scores(spark, dim):
     assert dim == 1 or hit >= 0.98 * total
 
 
+def test_best_keeps_the_better_score_and_the_smaller_id():
+    rng = np.random.default_rng(6)
+    best, seen = A.Best(4, 3), {}
+    for _ in range(30):
+        n = int(rng.integers(0, 12))
+        q, i, s = rng.integers(0, 4, n), rng.integers(-5, 6, n), rng.integers(0, 4, n) / 4
+        best.add(q, i, s)
+        for a, b, c in zip(q.tolist(), i.tolist(), s.tolist(), strict=True):
+            seen[a, b] = max(c, seen.get((a, b), c))
+        for a in range(4):
+            want = sorted((-c, b) for (x, b), c in seen.items() if x == a)[:3]
+            have = [(-c, b) for c, b in zip(best.score[a].tolist(), best.id[a].tolist(), strict=True) if c > -np.inf]
+            assert have == want
+
+
+def test_negative_ids(spark):
+    d = spark.createDataFrame([(-50, [1.0, 2.0], "x", 1), (-1, [1.0, 2.0], "x", 1), (-7, [1.0, 2.0], "x", 1)], SCHEMA)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in rows(A.neighbours(d))) == [(-50, 1, -7), (-50, 2, -1)]
+
+
 def test_few_candidates_and_empty(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0], "x", 1), (50, [2.0, 4.0], "x", 1), (3, [-1.0, 0.0], "x", 1)], SCHEMA)
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in rows(A.neighbours(d)))
