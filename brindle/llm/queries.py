@@ -70,12 +70,52 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_url_filter": op10_url_filter,
 }
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+def _pairs() -> str:
+    """The pairs of phrases and templates as rows (template, label, exact, pairs, t_pos, pair)."""
+    rows = []
+    for i, (text, label) in enumerate((*licenses.PHRASES, *licenses.TEMPLATES)):
+        words = text.split()
+        rows += [f"({i}, '{label}', {i < len(licenses.PHRASES)}, {len(words) - 1}, {j}, '{a} {b}')" for j, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    return ", ".join(rows)
+
+
 _HOST_RULES = ", ".join(f"('{r.name}', '{r.verdict}')" for r in urlfilter.HOST_RULES)
 _PATTERNS = " OR ".join(f"regexp_matches(host, '(^|[.-]){r.name}($|[.-])')" for r in urlfilter.PATTERN_RULES)
 _FIRST_PATTERN = "CASE " + " ".join(f"WHEN regexp_matches(host, '(^|[.-]){r.name}($|[.-])') THEN '{r.name}'" for r in sorted(urlfilter.PATTERN_RULES, key=lambda r: r.name)) + " END"
 
 ORACLE: dict[str, str] = {
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[j : j + 1], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 1) + 1)) AS t(j) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        x AS (SELECT doc_id, n, s FROM s JOIN n USING (doc_id)),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS shared FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+        e AS (SELECT a, b FROM c WHERE 100 * shared >= 80 * (an + bn - shared)),
+        l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(id, other) AS (SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+        m AS (SELECT id, least(id, min(other)) AS component_id FROM r GROUP BY id)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id""",
+    "op5_licenses": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        t AS (SELECT * FROM (VALUES {_pairs()}) AS t(template, label, exact, pairs, t_pos, pair)),
+        p AS (SELECT doc_id, j - 1 AS pos, w[j] || ' ' || w[j + 1] AS pair FROM d, unnest(range(1, len(w))) AS u(j)),
+        v AS (SELECT doc_id, template, label, exact, pairs, pos - t_pos AS diagonal, count(*) AS n, list(t_pos) AS seen, min(pos) AS low, max(pos) AS high FROM p JOIN t USING (pair) GROUP BY ALL),
+        k AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.SLACK} AS apart FROM v WHERE NOT exact OR n = pairs),
+        g AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS merged FROM k),
+        h AS (SELECT doc_id, template, merged, label, pairs, len(list_distinct(flatten(list(seen)))) / pairs AS share, max(high) - min(low) + 2 AS words FROM g WHERE NOT exact GROUP BY doc_id, template, merged, label, pairs),
+        o AS (SELECT doc_id, label, share FROM h WHERE share >= CASE WHEN pairs <= {licenses.SHORT} THEN 1.0 ELSE {licenses.LEAST} END AND words <= {licenses.STRETCH} * (pairs + 1)),
+        b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM v WHERE exact AND n = pairs GROUP BY doc_id),
+        a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM
+            (SELECT * FROM o UNION ALL SELECT doc_id, label, 1.0 FROM v WHERE exact AND n = pairs) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+            coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)""",
     "op3_decontaminate": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
