@@ -14,6 +14,8 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +76,16 @@ KEPT = ("partsupp",)
 
 _FROM = re.compile(r"\braw_(\w+)\b")
 
-#: Schemas of Parquet sources, by path, bytes and time of change, so that footers are read once for each state of a file.
-_SEEN: dict[tuple, StructType] = {}
-#: Written derived tables, by their text and the state of what they are derived from.
-_WRITTEN: dict[tuple, str] = {}
+#: For each session the tables and views that it has resolved, by path, bytes and time of change of their files,
+#: so that footers and folders are read once for each state of a file, and derived tables are written once.
+_RESOLVED: weakref.WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = weakref.WeakKeyDictionary()
+
+
+def _resolved(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    known = _RESOLVED.setdefault(spark, {})
+    if key not in known:
+        known[key] = make()
+    return known[key]
 
 
 def _state(spark: SparkSession, path: str) -> tuple | None:
@@ -88,9 +96,9 @@ def _state(spark: SparkSession, path: str) -> tuple | None:
         return None
     own = fs.getFileStatus(at)
     if own.isFile():
-        return (spark.sparkContext.applicationId, path, own.getLen(), own.getModificationTime())
+        return (path, own.getLen(), own.getModificationTime())
     files = fs.listStatus(at)
-    return (spark.sparkContext.applicationId, path, sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0), len(files))
+    return (path, sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0), len(files))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -112,11 +120,7 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     if found is None:
         return None
     kind, path, state = found
-    if kind == "tbl":
-        return read_tbl(spark, path, name)
-    if state not in _SEEN:
-        _SEEN[state] = spark.read.parquet(path).schema
-    return spark.read.schema(_SEEN[state]).parquet(path)
+    return _resolved(spark, (name, state), lambda: read_tbl(spark, path, name) if kind == "tbl" else spark.read.parquet(path))
 
 
 def typed(df: DataFrame, name: str) -> DataFrame:
@@ -133,33 +137,38 @@ def is_full(df: DataFrame | None, name: str) -> bool:
 
 def load(spark: SparkSession, folder: str, views: tuple[str, ...] = tuple(DERIVED)) -> bool:
     """Register views; True if all come from tables of the full schema, False if one of them is derived from reduced files."""
-    full, reduced = True, set()
+    full = True
     for v in views:
-        df = source(spark, folder, v)
+        found = locate(spark, folder, v)
+        df = source(spark, folder, v) if found else None
         if is_full(df, v):
-            typed(df, v).createOrReplaceTempView(v)
+            out = _resolved(spark, ("full", v, found[2]), lambda df=df, v=v: typed(df, v))
         else:
             full = False
-            reduced.add(v)
-    for name in sorted({m for v in reduced for m in _FROM.findall(DERIVED[v])}):
+            states = tuple(locate(spark, folder, name) for name in _sources(v))
+            out = _resolved(spark, ("derived", v, states), lambda v=v: derived(spark, folder, v))
+        out.createOrReplaceTempView(v)
+    return full
+
+
+def _sources(view: str) -> list[str]:
+    """The tables that a view is derived from."""
+    return sorted(set(_FROM.findall(DERIVED[view])))
+
+
+def derived(spark: SparkSession, folder: str, view: str) -> DataFrame:
+    """A view over reduced files.  One that costs a pass over its sources is written, in the folder that the cluster shares, and read again."""
+    for name in _sources(view):
         df = source(spark, folder, name)
         if df is None:
             raise FileNotFoundError(f"neither {name}.parquet nor {name}.tbl in {folder}")
         df.createOrReplaceTempView(f"raw_{name}")
-    for v in reduced:
-        (_kept(spark, folder, v) if v in KEPT else spark.sql(DERIVED[v])).createOrReplaceTempView(v)
-    return full
-
-
-def _kept(spark: SparkSession, folder: str, view: str) -> DataFrame:
-    """A derived table that costs a pass over its sources, written once for each state of them, in the folder that the cluster shares."""
-    key = (DERIVED[view], *(locate(spark, folder, name)[2] for name in sorted(set(_FROM.findall(DERIVED[view])))))
     df = spark.sql(DERIVED[view])
-    if key not in _WRITTEN:
-        path = f"{shared_folder(spark)}/derived/{view}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.schema(df.schema).parquet(_WRITTEN[key])
+    if view not in KEPT:
+        return df
+    path = f"{shared_folder(spark)}/derived/{view}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
