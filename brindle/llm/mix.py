@@ -58,23 +58,37 @@ def with_size(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), *columns, "text").mapInArrow(run, f"doc_id {kind}, source string, h long, tie long, size long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def numbered(sources: DataFrame, keep: Scratch) -> DataFrame:
+    """sources with its place in the order of `source`, from 0, nulls last.
+
+    The sort is by ranges over many tasks; a place is the count of the ranges
+    before, one row for each task, and the place within the range.
+    """
+    sorted_ = keep(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix-ordered")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return sorted_.withColumn("part", part).join(F.broadcast(parts), "part").withColumn("place", F.col("before") + within).drop("at", "part", "before")
+
+
+def targets(sizes: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, target from (source, source_size), one row a source.
 
-    Targets are shares by weight, none above `most` times its source.  Sources
-    in order of cap / weight: the first k are at their caps, where the level
-    of the others, (budget - caps) / weights, is below the next one's ratio.
+    Targets are shares of the budget by weight, none above `most` times its
+    source.  Round by round, sources that their share would lift above that are
+    held at it, and the level of the others, (budget - caps) / weights, rises;
+    one row of sums a round reaches the driver, however many sources there are.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    x = sizes.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size").cast("double") * most)
-    every = Window.partitionBy()
-    x = x.withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share))).withColumn("all_w", F.sum("w").over(every))
-    below = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(below), F.lit(0.0))))
-    # from the first source that does not reach its cap on, levels fall
-    x = x.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every))
-    return x.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    x = keep(numbered(sizes, keep).select("source", "source_size", w.alias("w"), (F.col("source_size").cast("double") * most).alias("cap")), "mix-sources")
+    budget = float(x.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, held = 0.0, -1
+    while True:
+        over = F.col("cap") <= level * F.col("w") if held >= 0 else F.lit(False)
+        r = x.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("caps"), F.sum(F.when(~over, F.col("w"))).alias("left")).first()
+        if r.n == held or not r.left:
+            return x.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target") if r.left else F.col("cap").alias("target"))
+        level, held = (budget - (r.caps or 0.0)) / r.left, r.n
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> tuple[dict[int, int], int]:
@@ -171,7 +185,7 @@ def plan(thin: DataFrame, **weights) -> DataFrame:
     """source, size, source_size, target, rounds, below, below_tie: one round more for rows up to (below, below_tie); a null tie is all of below."""
     with Scratch(thin.sparkSession) as keep:
         hist = keep(thin.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
-        goal = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), **weights)
+        goal = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), keep, **weights)
 
         def choose(key, pdf):
             own = pdf.sort_values("size", ignore_index=True)

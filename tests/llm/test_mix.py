@@ -159,3 +159,19 @@ def test_a_mix_takes_long_documents(spark):
         target[s] = r["target"]
         sizes[s].append(r["size"])
     assert all(taken[s] == reachable(sizes[s], target[s]) for s in target)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 400])
+def test_targets_of_many_sources(spark, n):
+    rng = random.Random(n)
+    sizes = {f"{rng.choice('aZé~ä')}{i}": rng.choice([0, 1, 5, 70, 10**6, rng.randrange(10**9)]) for i in range(n)}
+    if n > 1:
+        sizes[None] = 33
+        sizes[""] = 10**10
+    d = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    with M.Scratch(spark) as keep:
+        placed = {r["source"]: r["place"] for r in rows(M.numbered(d, keep))}
+        got = {r["source"]: r["target"] for r in rows(M.targets(d, keep))}
+    assert sorted(placed, key=placed.get) == sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = wanted(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-9 * want[s] + 1e-9 for s in want)
