@@ -197,10 +197,15 @@ REPORTS: dict[str, Report] = {
     ),
     "q15": Report(
         """WITH revenue0 AS (SELECT l_suppkey AS supplier_no, SUM(<VOLUME>) AS total_revenue FROM {lineitem}
+            WHERE l_shipdate >= DATE '<day>' AND l_shipdate < DATE '<day>' + INTERVAL '3' MONTH GROUP BY l_suppkey),
+            ranked AS (SELECT supplier_no, total_revenue, RANK() OVER (ORDER BY total_revenue DESC) AS place FROM revenue0 WHERE total_revenue IS NOT NULL)
+            SELECT s_suppkey, s_name, s_address, s_phone, CAST(total_revenue AS DOUBLE) AS total_revenue FROM {supplier}, ranked
+            WHERE s_suppkey = supplier_no AND place = 1 ORDER BY s_suppkey""",
+        {"day": "1996-01-01"},
+        published="""WITH revenue0 AS (SELECT l_suppkey AS supplier_no, SUM(<VOLUME>) AS total_revenue FROM {lineitem}
             WHERE l_shipdate >= DATE '<day>' AND l_shipdate < DATE '<day>' + INTERVAL '3' MONTH GROUP BY l_suppkey)
             SELECT s_suppkey, s_name, s_address, s_phone, CAST(total_revenue AS DOUBLE) AS total_revenue FROM {supplier}, revenue0
             WHERE s_suppkey = supplier_no AND total_revenue = (SELECT MAX(total_revenue) FROM revenue0) ORDER BY s_suppkey""",
-        {"day": "1996-01-01"},
     ),
     "q16": Report(
         """SELECT p_brand, p_type, p_size, COUNT(DISTINCT ps_suppkey) AS supplier_cnt FROM {partsupp}, {part}
@@ -217,18 +222,26 @@ REPORTS: dict[str, Report] = {
             GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
     ),
     "q17": Report(
-        """SELECT CAST(SUM(l_extendedprice) AS DOUBLE) / 7.0 AS avg_yearly FROM {lineitem}, {part}
+        """SELECT CAST(SUM(l_extendedprice) AS DOUBLE) / 7.0 AS avg_yearly FROM (
+            SELECT l_extendedprice, l_quantity, CAST(0.2 AS DOUBLE) * CAST(SUM(l_quantity) OVER (PARTITION BY l_partkey) AS DOUBLE) / COUNT(l_quantity) OVER (PARTITION BY l_partkey) AS least
+            FROM {part}, {lineitem} WHERE p_partkey = l_partkey AND p_brand = '<brand>' AND p_container = '<container>') AS lines
+            WHERE CAST(l_quantity AS DOUBLE) < least""",
+        {"brand": "Brand#23", "container": "MED BOX"},
+        published="""SELECT CAST(SUM(l_extendedprice) AS DOUBLE) / 7.0 AS avg_yearly FROM {lineitem}, {part}
             WHERE p_partkey = l_partkey AND p_brand = '<brand>' AND p_container = '<container>'
             AND CAST(l_quantity AS DOUBLE) < (SELECT CAST(0.2 AS DOUBLE) * CAST(SUM(l_quantity) AS DOUBLE) / COUNT(l_quantity) FROM {lineitem} WHERE l_partkey = p_partkey)""",
-        {"brand": "Brand#23", "container": "MED BOX"},
     ),
     "q18": Report(
-        """SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(SUM(l_quantity) AS DOUBLE) AS sum_quantity
+        """SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(SUM(quantity) AS DOUBLE) AS sum_quantity
+            FROM (SELECT l_orderkey, SUM(l_quantity) AS quantity FROM {lineitem} GROUP BY l_orderkey HAVING SUM(l_quantity) > <quantity>) AS large, {orders}, {customer}
+            WHERE o_orderkey = l_orderkey AND c_custkey = o_custkey
+            GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
+        {"quantity": "300"},
+        published="""SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(SUM(l_quantity) AS DOUBLE) AS sum_quantity
             FROM {customer}, {orders}, {lineitem}
             WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING SUM(l_quantity) > <quantity>)
             AND c_custkey = o_custkey AND o_orderkey = l_orderkey
             GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
-        {"quantity": "300"},
     ),
     "q19": Report(
         """SELECT CAST(SUM(<VOLUME>) AS DOUBLE) AS revenue FROM {lineitem}, {part}
