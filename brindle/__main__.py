@@ -6,7 +6,7 @@ chunked QUERY FOLDER [--files N]    a report whose lines are read so many files
 check QUERY FOLDER GOLDEN           compare a result with GOLDEN/<query>_<scale>.csv
 save QUERY FOLDER GOLDEN            write that file
 time QUERY FOLDER                   seconds of loading, planning and execution as CSV
-ingest TABLE FILE OUT               a .tbl file as Parquet; `ingest FOLDER OUT` all of a folder
+ingest TABLE FILE OUT               a .tbl file as Parquet; `ingest FOLDER OUT` all tables of a folder, derived ones too
 
 QUERY is a name, `all` (q01 to q22) or `mball` (mb1 to mb7).  Options: name=value
 for a report's parameters, --scale SF1, --absolute 0.01, --relative 0.0001,

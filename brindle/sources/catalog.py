@@ -73,6 +73,8 @@ DERIVED: dict[str, str] = {
 
 #: Derived tables that are written once, not derived again in every query.
 KEPT = ("partsupp",)
+#: Rows up to which a table is one file.
+SMALL = 50_000
 
 _FROM = re.compile(r"\braw_(\w+)\b")
 
@@ -106,8 +108,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def locate(spark: SparkSession, folder: str, name: str) -> tuple[str, str, tuple] | None:
-    """(format, path, state) of a table: Parquet if there is some, else a ``.tbl`` file or folder; None without either."""
-    for kind, path in (("parquet", f"{folder}/{name}.parquet"), ("parquet", f"{folder}/{name}"), ("tbl", f"{folder}/{name}.tbl")):
+    """(format, path, state) of a table: what ingest() has prepared, else Parquet, else a ``.tbl`` file or folder; None without any."""
+    for kind, path in (("prepared", f"{folder}/{name}.prepared"), ("parquet", f"{folder}/{name}.parquet"), ("parquet", f"{folder}/{name}"), ("tbl", f"{folder}/{name}.tbl")):
         state = _state(spark, path)
         if state:
             return kind, path, state
@@ -141,7 +143,9 @@ def load(spark: SparkSession, folder: str, views: tuple[str, ...] = tuple(DERIVE
     for v in views:
         found = locate(spark, folder, v)
         df = source(spark, folder, v) if found else None
-        if is_full(df, v):
+        if found and found[0] == "prepared":
+            full, out = False, df
+        elif is_full(df, v):
             out = _resolved(spark, ("full", v, found[2]), lambda df=df, v=v: typed(df, v))
         else:
             full = False
@@ -230,11 +234,23 @@ def ingest(spark: SparkSession, path: str, name: str, out: str, **partitioning)
 
 
 def ingest_all(spark: SparkSession, folder: str, out: str) -> list[str]:
-    """Every ``.tbl`` table of a folder as Parquet in another; the names of those found."""
-    done = []
+    """The tables of a folder in another, as reports read them best; the names of those found.
+
+    ``.tbl`` files become Parquet.  Reduced tables become what is derived of them,
+    in its types, so that no report casts and derives again; a table of fewer
+    files than there are cores is dealt over them, so that all of them read.
+    Parquet of the full schema is as good as it is and is left out.
+    """
+    done, cores = [], spark.sparkContext.defaultParallelism
     for name in SCHEMAS:
         found = locate(spark, folder, name)
         if found and found[0] == "tbl":
             ingest(spark, found[1], name, f"{out}/{name}.parquet")
-            done.append(name)
+        elif (found and is_full(source(spark, folder, name), name)) or not all(locate(spark, folder, s) for s in _sources(name)):
+            continue
+        else:
+            df = derived(spark, folder, name)
+            df = df.repartition(cores) if len(df.inputFiles()) < cores and df.count() > SMALL else df
+            df.write.mode("overwrite").parquet(f"{out}/{name}.prepared")
+        done.append(name)
     return done

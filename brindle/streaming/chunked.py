@@ -44,11 +44,13 @@ def report(spark: SparkSession, name: str, folder: str, files: int = 1, **values
     own = REPORTS[name]
     full = catalog.load(spark, folder, own.views)
     kind, path, _ = catalog.locate(spark, folder, "lineitem")
-    if kind != "parquet":
+    if kind == "tbl":
         raise ValueError(f"{path}: chunks are Parquet files; ingest first")
     lines = catalog.source(spark, folder, "lineitem")
     stream = arriving(spark, path, lines.schema, files)
-    if catalog.is_full(lines, "lineitem"):
+    if kind == "prepared":
+        stream.createOrReplaceTempView("lineitem")
+    elif catalog.is_full(lines, "lineitem"):
         catalog.typed(stream, "lineitem").createOrReplaceTempView("lineitem")
     else:
         stream.createOrReplaceTempView("raw_lineitem")

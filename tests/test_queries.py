@@ -8,6 +8,8 @@ duckdb = pytest.importorskip("duckdb")
 from brindle.check import differences
 from brindle.plans.reports import REPORTS
 from brindle.plans.single import SINGLES
+from brindle.sources import catalog
+from brindle.streaming import chunked
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -86,3 +88,20 @@ def test_parameters(spark):
     text = REPORTS["q06"].text(day="1997-01-01", quantity="10")
     assert "1997-01-01" in text and "l_quantity < 10" in text and "<" + "day>" not in text
     assert REPORTS["q06"].run(spark, DATA, day="2030-01-01").first()["revenue"] is None
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("prepared"))
+    assert set(catalog.ingest_all(spark, DATA, at)) == set(catalog.SCHEMAS)
+    return at
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_prepared_tables_give_the_same(spark, prepared, name):
+    assert sorted(map(repr, REPORTS[name].run(spark, prepared).collect())) == sorted(map(repr, REPORTS[name].run(spark, DATA).collect()))
+
+
+def test_prepared_tables_come_in_chunks(spark, prepared):
+    assert chunked.report(spark, "q01", prepared, files=1).collect() == REPORTS["q01"].run(spark, DATA).collect()
+    assert "cast(" not in plan(REPORTS["mb2"].run(spark, prepared)).split("HashAggregate")[-1]
