@@ -146,7 +146,7 @@ def pairs_across(members: DataFrame) -> DataFrame:
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def dealt_out(members: DataFrame, keep: Scratch) -> DataFrame:
+def dealt_out(members: DataFrame, sizes: DataFrame, keep: Scratch) -> DataFrame:
     """field, side, p, q, part, id, label: which members of large buckets meet in which group.
 
     Large buckets that share members form a field.  The members of its largest
@@ -158,9 +158,10 @@ def dealt_out(members: DataFrame, keep: Scratch) -> DataFrame:
     low = members.groupBy("key").agg(F.min("id").alias("low"))
     star = members.join(low, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     fields = components(star).withColumnRenamed("label", "field")
-    placed = keep(fields.join(members.select("id", "label", "n").distinct(), "id"), "fields")
-    sizes = placed.groupBy("field", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    most = sizes.groupBy("field").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
+    # sizes are joined to members, of which each bucket has its own rows, only once each
+    placed = keep(fields.join(members.select("id", "label").distinct(), "id").join(sizes, "id").distinct(), "fields")
+    sums = placed.groupBy("field", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = sums.groupBy("field").agg(F.max(F.struct("c", "label"))["label"].alias("most"))
     placed = placed.join(most, "field").withColumn("big", F.col("label") == F.col("most"))
     size = placed.groupBy("field").agg(*(F.greatest(F.ceil(F.count(F.when(m, 1)) / BLOCK_MEMBERS), F.ceil(F.sum(F.when(m, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(c) for c, m in (("b", F.col("big")), ("o", ~F.col("big")))))
     placed = keep(placed.join(size, "field").withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("big"), F.col("b")).otherwise(F.col("o"))).cast("int")), "dealt")
@@ -209,7 +210,7 @@ def links_across(members: DataFrame, sketch: DataFrame, texts: DataFrame, k: int
     large = members.where(F.col("c") > SMALL)
     if large.isEmpty():
         return None
-    met = keep(dealt_out(large.join(sketch.select("id", "n"), "id"), keep), "met")
+    met = keep(dealt_out(large, sketch.select("id", "n"), keep), "met")
     group = ["field", "side", "p", "q"]
 
     def near(key, pdf):

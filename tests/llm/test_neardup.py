@@ -146,6 +146,36 @@ def test_blocks_equal_all_pairs(spark, monkeypatch):
         assert len(set(merged(links).values())) == len(set(want.values())) < len(set(label.values()))
 
 
+def joined_by_id(spark, run):
+    """Rows that the joins on id make in run(), by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before, made = store.executionsList().size(), 0
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = store.executionsList()
+    for e in (executions.apply(i).executionId() for i in range(before, executions.size())):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and "[id#" in node.desc() and "Inner" in node.desc():
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, made
+
+
+def test_members_are_joined_once_and_not_once_a_bucket(spark, monkeypatch):
+    """Documents 0.73 alike, all in many of each other's buckets: within a block the joined rows follow their number."""
+    monkeypatch.setattr(N, "SMALL", 4)
+    for n in (60, 120):
+        common = [f"c{i}" for i in range(62)]
+        docs = [(i, " ".join(common + [f"u{i}_{j}" for j in range(11)])) for i in range(n)]
+        got, made = joined_by_id(spark, lambda docs=docs: rows(N.near_duplicates(frame(spark, docs), 2)))
+        assert len(got) == n and all(r["kept"] for r in got)
+        assert 2 * n <= made <= 6 * n, made
+
+
 def test_bitmaps_leave_out_nothing_similar():
     rng = np.random.default_rng(5)
     for n in (1, 3, 9, 40, 70, 300, 5000, 40_000):
